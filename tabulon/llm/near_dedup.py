@@ -109,6 +109,14 @@ def most_differing(lanes: int, bits: int, similarity: float) -> int:
     return int(np.ceil(lanes * (1 - agree) + SIGMAS * np.sqrt(lanes * agree * (1 - agree))))
 
 
+def first_shared(a: Column, b: Column) -> Column:
+    """The first band key that two signatures share: a pair of several common buckets comes from one only."""
+    found = F.when(a.getItem(0) == b.getItem(0), a.getItem(0))
+    for i in range(1, BANDS):
+        found = found.when(a.getItem(i) == b.getItem(i), a.getItem(i))
+    return found
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Group documents whose shingle sets reach `percent` of Jaccard similarity, with links followed.
 
@@ -137,7 +145,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     heads = slots.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").drop("tail")
     shared = cut(slots.join(heads, "key"))
     ids = cut(shared.select("id").distinct())
-    packed = cut(restrict(nodes.select(F.col("doc_id").alias("id"), "packed", "n_shingles"), "id", ids))
+    packed = cut(restrict(nodes.select(F.col("doc_id").alias("id"), "packed", "n_shingles", "bands"), "id", ids))
     texts = restrict(docs.where("text is not null").withColumnRenamed("doc_id", "id"), "id", ids).withColumnRenamed("id", "doc_id")
     sets = cut(texts.mapInArrow(_sets, "id long, hashes array<long>").where(F.size("hashes") > 0))
 
@@ -176,13 +184,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         tried = tried.unionByName(second)
     if not rows.isEmpty():
         wide = cut(restrict(sets, "id", rows.select("id").distinct()).mapInArrow(_widen, "id long, wide array<long>").dropDuplicates(["id"]))
-        sized = rows.join(wide, "id").join(packed.select("id", "n_shingles"), "id")
+        sized = rows.join(wide, "id").join(packed.select("id", "n_shingles", "bands"), "id")
         l, r = sized.alias("l"), sized.alias("r")  # noqa: E741
         near = l.join(
             r,
             (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))
             & (100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles"))
-            & (differing(F.col("l.wide"), F.col("r.wide"), WIDE // 64, 1) <= most_differing(WIDE, 1, percent / 100)),
+            & (differing(F.col("l.wide"), F.col("r.wide"), WIDE // 64, 1) <= most_differing(WIDE, 1, percent / 100))
+            & (first_shared(F.col("l.bands"), F.col("r.bands")) == F.col("l.key")),
         )
         rest = near.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = confirmed(rest)
