@@ -20,7 +20,7 @@ LANES = BANDS * ROWS
 #: Bits kept of each minimum, in signatures of LANES lanes.
 BITS = 2
 #: Lanes (of one bit) of the wide signature that prunes the exhaustive round.
-WIDE = 1024
+WIDE = 4096
 #: Candidates are dropped only when the estimate lies so many standard deviations under the threshold.
 SIGMAS = 4.0
 
@@ -150,11 +150,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = cut(texts.mapInArrow(_sets, "id long, hashes array<long>").where(F.size("hashes") > 0))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs a < b whose full sets reach the threshold."""
+        """Pairs a < b whose full sets reach the threshold, of those whose packed signatures leave it open."""
         a = packed.select(F.col("id").alias("a"), F.col("packed").alias("pa"), F.col("n_shingles").alias("na"))
         b = packed.select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("n_shingles").alias("nb"))
         near = pairs.join(a, "a").join(b, "b").where(differing(F.col("pa"), F.col("pb"), LANES * BITS // 64, BITS) <= most_differing(LANES, BITS, percent / 100))
-        near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        return verified(near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+
+    def verified(near: DataFrame) -> DataFrame:
+        """Pairs whose full sets reach the threshold."""
         x, y = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         return cut(near.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct())
@@ -194,7 +197,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             & (first_shared(F.col("l.bands"), F.col("r.bands")) == F.col("l.key")),
         )
         rest = near.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = confirmed(rest)
+        more = verified(rest)  # their wide signatures have passed already
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     out = signs.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left").join(labels, "id", "left")

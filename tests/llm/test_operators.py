@@ -1,0 +1,343 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tabulon.llm import language_id, licenses, mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, sharding, substring_dedup
+from tabulon.llm.graph import components
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def words(text, lower=True):
+    return WORD.findall((text or "").translate(LOWER) if lower else text or "")
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def roots(sets, links):
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_sharding(docs, odd, empty):
+    for df in (docs, odd.select("doc_id", "text", "source")):
+        rows = sharding.shard_digest(df, 7).collect()
+        assert len(rows) == df.count()
+        slots = defaultdict(list)
+        for r in rows:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    got = sharding.shard_digest(docs).collect()
+    assert all(r["size"] == len(texts[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]]) for r in got)
+    again = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_digest(docs.repartition(5)).collect()}
+    assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
+    replaced = sharding.interleaved_shards(odd, 3)
+    assert dict(replaced.dtypes)["shard"] == "int" and replaced.count() == odd.count()
+    assert sharding.shard_digest(empty).count() == 0
+
+
+def test_shards_match_the_mixture(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "cast(id AS string) AS text", "if(id % 4 = 0, 'hot', concat('s', id % 3)) AS source")
+    rows = sharding.shard_digest(df, 10).join(df, "doc_id").groupBy("shard", "source").count().collect()
+    total = {r["source"]: r["count"] for r in df.groupBy("source").count().collect()}
+    assert all(abs(r["count"] - total[r["source"]] / 10) <= 2 for r in rows)
+
+
+def best_packing(items, room):
+    best = [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for j in {b: j for j, b in enumerate(bins)}.values():
+            if bins[j] >= items[i]:
+                bins[j] -= items[i]
+                go(i + 1, bins)
+                bins[j] += items[i]
+        bins.append(room - items[i])
+        go(i + 1, bins)
+        bins.pop()
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    r = random.Random(2)
+    for _ in range(150):
+        room = r.choice([10, 20, 50, 100])
+        items = sorted((r.randint(1, room) for _ in range(r.randint(1, 10))), reverse=True)
+        patterns = packing.bin_completion(np.bincount(items, minlength=room + 1), room)
+        assert sorted(x for p, n in patterns for x in p * n) == sorted(items) and all(sum(p) <= room for p, _ in patterns)
+        assert sum(n for _, n in patterns) == best_packing(items, room)
+
+
+def test_token_ids_are_those_of_tokenizers(docs):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    theirs = Tokenizer.from_file(path)
+    theirs.encode_special_tokens = True
+    mine = packing.encoder(path)
+    for text in ["", "<|endoftext|> hi", "a" * 3000, "é你好  \n\n x y", "don't  we'LL 1234", *(r["text"] for r in docs.limit(60).collect())]:
+        assert mine(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(docs, odd, empty):
+    encode = packing.encoder(packing.default_vocabulary())
+    for df in (docs, odd):
+        placed = packing.pack_documents(df, keep_ids=True)
+        rows = placed.collect()
+        runs = defaultdict(list)
+        pieces = defaultdict(list)
+        for r in rows:
+            runs[r["sequence_id"]].append((r["offset"], r["length"]))
+            pieces[r["doc_id"]].append((r["piece"], r["start"], r["ids"]))
+            assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
+        for run in runs.values():
+            at = 0
+            for offset, length in sorted(run):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        for r in df.where("doc_id <> 10").collect():
+            ids = [i for _, _, part in sorted(pieces[r["doc_id"]]) for i in part]
+            assert ids == [*encode(r["text"] or "").tolist(), 0]
+    assert len(runs) >= 1 and packing.pack_documents(empty).count() == 0
+    sizes = [r["length"] for r in packing.pack_documents(docs).collect()]
+    used = packing.pack_documents(docs).select("sequence_id").distinct().count()
+    assert used <= -(-sum(sizes) // 2048) + 2
+    assert packing.sequences(packing.pack_documents(docs, keep_ids=True)).where("size(ids) > 2048").count() == 0
+
+
+def test_licenses(spark, odd, empty):
+    rows = [(1, "Prose.\nReleased under the MIT License.\nMore."), (2, "licensed UNDER the apache license version 2.0"), (3, "This license is nothing known."), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0."), (7, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files, to deal in the Software without restriction.")]
+    got = {r["doc_id"]: (r["license"], r["n_notices"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", 1), 2: ("Apache-2.0", 1), 3: (None, 0), 4: (None, 0), 5: (None, 0), 6: ("CC-BY-NC-4.0", 1), 7: ("MIT", 2)} or got[7][0] == "MIT"
+    assert licenses.license_scan(odd).where("license is null").count() == odd.count() and licenses.license_scan(empty).count() == 0
+
+
+def test_chains_against_brute_force():
+    r = random.Random(3)
+    cost = substring_dedup.K / (2 * substring_dedup.GAP)
+    for _ in range(60):
+        anchors = sorted({(r.randint(0, 60), r.randint(0, 60)) for _ in range(r.randint(1, 14))})
+        score = [0.0] * len(anchors)
+        for i, (t, s) in enumerate(anchors):
+            score[i] = substring_dedup.K + max([0.0, *(score[j] - cost * (t - u + s - v) for j, (u, v) in enumerate(anchors[:i]) if u < t and v < s)])
+        best = substring_dedup.chains(anchors)[0]
+        value = substring_dedup.K * len(best) - cost * sum(t - u + s - v for (u, v), (t, s) in zip(best, best[1:], strict=False))
+        assert abs(value - max(score)) < 1e-9
+
+
+def test_repeated_passages(spark, odd, empty):
+    r = random.Random(1)
+    vocabulary = ["".join(r.choices("abcdefghijklm", k=6)) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choices(vocabulary, k=n))
+    passage, line = prose(60), prose(20)
+    edited = passage.split()
+    edited[30] = "changed"
+    texts = {1: prose(100), 2: prose(40) + " " + passage + " " + prose(50), 3: passage + "\n" + prose(30), 4: prose(30) + " " + " ".join(edited) + " " + prose(9), 5: line + "\n" + prose(40), 6: prose(10) + "\n" + line, 7: None, 8: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert set(got) == {3, 4} and all(r["source_doc_id"] == 2 for r in got.values())
+    assert (got[3]["start_word"], got[3]["end_word"], got[3]["similarity"]) == (0, 60, 1.0)
+    assert (got[4]["start_word"], got[4]["end_word"]) == (30, 90) and got[4]["n_agreeing"] == 59
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(df).collect()}
+    assert left[2] == texts[2] and passage not in left[3] and len(words(left[4])) == 39 and left[7] is None and left[8] == ""
+    assert {r["doc_id"] for r in substring_dedup.repeated_passages(odd).collect()} == {2, 3}
+    assert substring_dedup.without_repeats(odd).count() == odd.count() and substring_dedup.repeated_passages(empty).count() == 0
+
+
+def test_quality_statistics(docs, odd, empty):
+    for df in (docs, odd):
+        texts = defaultdict(list)
+        for r in df.collect():
+            texts[r["doc_id"]].append(r["text"])
+        for r in quality_rules.quality_rules(df).collect():
+            found = []
+            for text in texts[r["doc_id"]]:
+                w, lines = words(text, False), [x for x in (text or "").split("\n") if WORD.search(x)]
+                seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+                repeated = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+                found.append((len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeated)))
+            mine = tuple(r[c] for c in quality_rules.STATISTICS)
+            assert mine in found
+            assert r["base_failed"] == (mine[0] < 20 or 100 * mine[4] > 30 * mine[0]) and not (r["kept"] and r["base_failed"])
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_quality_rules_find_outliers(spark):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(n))
+    rows = [(i, prose(r.randint(60, 400)), "en", "s") for i in range(300)] + [(300 + i, prose(150).replace(" ", "### "), "en", "s") for i in range(20)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(kept[i] for i in range(300)) >= 297 and not any(kept[i] for i in range(300, 320))
+
+
+def test_near_duplicates_against_brute_force(docs, odd, empty):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    for r in near_dedup.near_duplicates(docs).collect():
+        assert r["n_shingles"] == len(sets[r["doc_id"]]) and r["component_id"] == want[r["doc_id"]] and r["kept"] == (want[r["doc_id"]] == r["doc_id"])
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd).collect())
+    assert got[2, 1, False] == got[3, 1, False] == got[8, 7, False] == got[4, 4, True] == got[5, 5, True] == got[12, 12, True] == got[None, None, True] == 1
+    assert near_dedup.near_duplicates(empty).count() == 0
+    assert sorted(str(r["doc_id"]) for r in near_dedup.deduplicated(odd).collect()) == sorted(map(str, [1, 4, 5, 6, 7, 9, 10, 11, 12, 13, None]))
+
+
+def test_dense_group_without_a_centre(spark):
+    """Links that no bucket's smallest document sees."""
+    r = random.Random(9)
+    base = ["".join(r.choices("abcdefghijklm", k=6)) for _ in range(300)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in r.sample(range(300), 2 + i % 12):
+            w[j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = roots(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_components(spark):
+    r = random.Random(8)
+    links = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)]
+    want = roots({x for p in links for x in p}, links)
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame([*links, (5, 5), (None, 3)], "a long, b long")).collect()}
+    assert all(got.get(i, i) == c for i, c in want.items())
+
+
+def test_mixing(docs, odd, empty):
+    tokens = {"a": 8000, "b": 1000, "c": 500}
+    plan = mixing.plan_mixture(tokens, repeat_limit=2.0)
+    passes = {s: plan.quotas[s] / tokens[s] for s in tokens}
+    assert min(passes.values()) >= 0.999 and max(passes.values()) <= 2.01
+    x = mixing.bisect_exponent(tokens, target_entropy=1.2)
+    assert abs(mixing.entropy(mixing.shares(tokens, x)) - 1.2) < 1e-6
+    uses = mixing.mix_digest(docs).collect()
+    count = Counter(r["doc_id"] for r in uses)
+    assert set(count) == {r["doc_id"] for r in docs.collect()} and max(count.values()) <= 2
+    spent, last = Counter(), defaultdict(int)
+    for r in uses:
+        spent[r["source"]] += r["tokens"]
+        last[r["source"]] = max(last[r["source"]], r["tokens"])
+    total = sum(spent.values())
+    for r in uses:
+        assert abs(spent[r["source"]] - r["mix_weight"] * total) <= total * 0.02 + max(last.values()) * 2
+    places = defaultdict(list)
+    for r in uses:
+        places[r["source"], r["mix_block"]].append(r["mix_place"])
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect()) == count
+    assert set(r["doc_id"] for r in mixing.mixed_documents(odd).collect()) == set(r["doc_id"] for r in odd.collect())
+    assert mixing.mix_digest(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_quality_classifier(spark, odd, empty):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_classifier.fit(docs, labels)
+    rows = quality_classifier.scored(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id AS string)) % 4 = 2").collect()
+    good = [r["quality_score"] >= 0.7 for r in rows if r["quality"] == 1]
+    bad = [r["quality_score"] < 0.7 for r in rows if r["quality"] == 0]
+    assert sum(good) / len(good) > 0.9 and sum(bad) / len(bad) > 0.6
+    scores = quality_classifier.scored(odd, model).collect()
+    assert len(scores) == odd.count() and all(0 <= r["quality_score"] <= 1 for r in scores)
+    blank = quality_classifier.fit(empty, labels.limit(0))
+    assert {r["quality_score"] for r in quality_classifier.scored(odd, blank).collect()} == {0.5}
+    assert quality_classifier.scored(empty, model).count() == 0
+
+
+def test_neighbours(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = vectors.collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = defaultdict(list)
+    for r in neighbours.nearest(vectors).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    found = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[i]).sum(1)
+        score[i] = -np.inf
+        best = np.lexsort((ids, -score))[:20]
+        found += len(set(ids[best]) & {v for v, _ in got[ids[i]]})
+        assert all(abs(s - score[np.flatnonzero(ids == v)[0]]) < 1e-12 for v, s in got[ids[i]]) and len(got[ids[i]]) == 20
+    assert found >= 0.9 * 20 * len(got)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (20, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(df).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 20), (0, 3, 2), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
+    assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def code_length(samples, text):
+    """Bits by the rules, byte by byte."""
+    counts = defaultdict(Counter)
+    for s in samples:
+        for i, c in enumerate(s):
+            for k in range(language_id.ORDER + 1):
+                counts[k, bytes(s[i - j] if i - j >= 0 else 0 for j in range(k, 0, -1))][c] += 1
+    bits = 0.0
+    for i, c in enumerate(text):
+        for k in range(language_id.ORDER, -1, -1):
+            seen = counts.get((k, bytes(text[i - j] if i - j >= 0 else 0 for j in range(k, 0, -1))))
+            if not seen:
+                continue
+            n, d = sum(seen.values()), len(seen)
+            if c in seen:
+                bits -= np.log2(seen[c] / (n + d))
+                break
+            bits -= np.log2(d / (n + d))
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_against_brute_force():
+    samples = {"x": [b"the cat sat on the mat", b"other things"], "y": ["été à la mer".encode(), b"le chat"]}
+    coder = language_id.Coder(language_id.grow(samples))
+    texts = [b"the chat", b"", "zq été".encode(), b"\x00\x01ab", b"on on on the mer"]
+    bits = coder.bits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for i, text in enumerate(texts):
+        for j, name in enumerate(coder.languages):
+            assert bits[i, j] == pytest.approx(code_length(samples[name], text), abs=1e-3)
+
+
+def test_language(spark, docs, odd, empty):
+    rows = language_id.predicted(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("crc32(cast(doc_id AS string)) % 4 = 2").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.95
+    got = language_id.predicted(odd, language_id.fit(odd)).collect()
+    assert len(got) == odd.count() and {r["lang_pred"] for r in got if r["doc_id"] in (4, 5, 9, 12)} == {"und"}
+    assert language_id.predicted(empty, language_id.fit(empty)).count() == 0
+    assert {r["lang_pred"] for r in language_id.predicted(docs, language_id.fit(empty)).collect()} == {"und"}
