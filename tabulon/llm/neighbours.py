@@ -135,6 +135,24 @@ def _probe(at: np.ndarray, probed: int, sample: np.ndarray, sample_ids: np.ndarr
     return run
 
 
+def _known(sample: np.ndarray, sample_ids: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each query's k best of the bounding sample: the vectors that reach its bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            ids = batch.column("vec_id").to_numpy()
+            for own, q in zip(ids, _matrix(batch.column("embedding")) if len(ids) else (), strict=True):
+                score = (sample * q).sum(1)
+                score[sample_ids == own] = -np.inf
+                best = np.argpartition(-score, k - 1)[:k] if len(score) > k else np.arange(len(score))
+                best = best[np.isfinite(score[best])]
+                rows.append((np.full(len(best), own), sample_ids[best], score[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -154,11 +172,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     are fitted on at most SAMPLE vectors, their number grows with the square root of the vectors up to MOST_LISTS. A query
     scans the PROBED share of lists with the best centres. Lists are dealt by hash into blocks of about BLOCK vectors, and a
     block meets at most about QUERIES queries at a time, so no list, however common its vector, meets in one task.
-    Scores are exact, in double precision on the given vectors; ties go to the smaller vec_id.
+    Candidates that can't reach the k-th best of a bounded sample are abandoned early; that sample's best are
+    answers too, so every query has k. Scores are exact, in double precision on the given vectors; ties go to the smaller vec_id.
 
     Null, zero and non-finite vectors, null ids and vectors that haven't the most common number of
-    dimensions take no part. Rows that repeat an id are candidates each, as a query the id stands once (with its
-    least vector). Fewer candidates than k: all. No vectors: no rows.
+    dimensions take no part. Equal rows count once; an id that stands on several vectors is a candidate with each, as a query with its
+    least. Fewer candidates than k: all. No vectors: no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable())
@@ -177,6 +196,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     indexed = cut(rows.mapInArrow(_assign(at), f"vec_id long, embedding {kind}, list int"))
     asked = indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     probed = min(len(at), max(LEAST_PROBED, math.ceil(PROBED * len(at))))
+    known = asked.mapInArrow(_known(sample[:BOUNDING], sample_ids[:BOUNDING], k), "query_id long, vec_id long, score double")
     asked = cut(asked.mapInArrow(_probe(at, probed, sample[:BOUNDING], sample_ids[:BOUNDING], k), f"query_id long, query {kind}, bound double, list int"))
     sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # at most MOST_LISTS rows
     sizes = sizes.join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns")), "list")
@@ -188,5 +208,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     wanted = wanted.select(*key, "query_id", "query", "bound")
     names = ["list", "block", "turn"]
     found = data.groupBy(*names).cogroup(wanted.groupBy(*names)).applyInArrow(_search(k), "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.unionByName(known).withColumn("__last", F.lag("vec_id").over(order))
+    found = found.where("__last is null or __last <> vec_id")  # a sampled vector that its list gave too
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
