@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when a count shows at most so many narrow rows.
 BROADCAST_ROWS = 400_000
+#: Bytes of an Arrow batch, held by the JVM and by a Python worker for every task at once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +46,17 @@ def restrict(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", li
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+def in_batches(df: DataFrame, function: Callable, schema: object) -> DataFrame:
+    """df.mapInArrow, in batches of about BATCH_BYTES at most; a longer row stands alone.
+
+    The bound is a setting of the session, read when the plan runs: it is left as it is if the session has one of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def key_of(name: str) -> Column:
     """A value as a string that is never null; null differs from every value."""
     return F.when(F.col(name).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(name).cast("string")))

@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of `column`; a longer text stands alone and whole."""
     _, offsets = text_buffer(batch.column(column))
     at, rows = 0, batch.num_rows

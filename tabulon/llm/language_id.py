@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, in_batches
 from .kernels import chunks, text_buffer
 
 #: Bytes of context of the deepest tree level.
@@ -225,4 +225,4 @@ def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("__letters"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predict(model), f"doc_id {kind}, lang_pred string, score double")
+    return in_batches(rows, _predict(model), f"doc_id {kind}, lang_pred string, score double")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, restrict
+from .common import cut, in_batches, restrict
 from .graph import components
 from .kernels import NEXT, chunks, mix, shingle_sets
 
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signs = cut(docs.mapInArrow(_sign, SIGNATURE))
+    signs = cut(in_batches(docs, _sign, SIGNATURE))
     classes = signs.where("doc_id is not null and set_hi is not null").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"))
     classes = cut(classes)
     nodes = signs.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "set_hi", "set_lo"], "left_semi").dropDuplicates(["doc_id", "set_hi", "set_lo"])
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ids = cut(shared.select("id").distinct())
     packed = cut(restrict(nodes.select(F.col("doc_id").alias("id"), "packed", "n_shingles", "bands"), "id", ids))
     texts = restrict(docs.where("text is not null").withColumnRenamed("doc_id", "id"), "id", ids).withColumnRenamed("id", "doc_id")
-    sets = cut(texts.mapInArrow(_sets, "id long, hashes array<long>").where(F.size("hashes") > 0))
+    sets = cut(in_batches(texts, _sets, "id long, hashes array<long>").where(F.size("hashes") > 0))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs a < b whose full sets reach the threshold, of those whose packed signatures leave it open."""
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             rows = mixed(labels, rows)
         tried = tried.unionByName(second)
     if not rows.isEmpty():
-        wide = cut(restrict(sets, "id", rows.select("id").distinct()).mapInArrow(_widen, "id long, wide array<long>").dropDuplicates(["id"]))
+        wide = cut(in_batches(restrict(sets, "id", rows.select("id").distinct()), _widen, "id long, wide array<long>").dropDuplicates(["id"]))
         sized = rows.join(wide, "id").join(packed.select("id", "n_shingles", "bands"), "id")
         l, r = sized.alias("l"), sized.alias("r")  # noqa: E741
         near = l.join(

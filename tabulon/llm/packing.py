@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut, in_batches, ranked
 
 LENGTH = 2048
 END = 0
@@ -84,7 +84,7 @@ def tokenised_pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | No
     ones are cut; the first piece takes what is left over, so all later pieces are full.
     """
     run = _tokenise(vocabulary or default_vocabulary(), length, keep_ids)
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE + ", ids array<int>" * keep_ids)
+    return in_batches(docs.select("doc_id", "text"), run, PIECE + ", ids array<int>" * keep_ids)
 
 
 # ---------------------------------------------------------------- bin completion
@@ -313,7 +313,7 @@ def packed(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     dealt = ranked(pieces.select(*keep, F.col("length").alias("__key")), int(counts.sum()), ["doc_id", "piece", "start", "ids_crc32"], 29).select(*keep, "__rank")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*keep).schema) + ", sequence_id long, offset long"
-    return dealt.mapInArrow(_place(slots), schema)
+    return in_batches(dealt, _place(slots), schema)
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:

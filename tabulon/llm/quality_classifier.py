@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, in_batches
 from .kernels import text_buffer
 
 #: Labelled rows of each class, and their bytes, that the model is fitted on at most; in hash order.
@@ -132,7 +132,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
     """
     kept = docs.drop("quality_score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", quality_score double"
-    return kept.mapInArrow(_score(model), schema)
+    return in_batches(kept, _score(model), schema)
 
 
 def accepted() -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, key_of
+from .common import BROADCAST_ROWS, cut, in_batches, key_of
 from .kernels import chunks, mix, text_buffer, windows, word_hashes, words
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -91,7 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the statistics of each whole text; a null text has zeros."""
     rows = docs.select("doc_id", "lang", "source", "text")
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "source"))
-    return rows.mapInArrow(_measure, schema + "".join(f", {c} long" for c in STATISTICS))
+    return in_batches(rows, _measure, schema + "".join(f", {c} long" for c in STATISTICS))
 
 
 def base_failed() -> Column:

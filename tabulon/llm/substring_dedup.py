@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, restrict
+from .common import cut, in_batches, restrict
 from .kernels import LOWER, STEP, chunks, mix, text_buffer, windows, winnow, word_hashes, words
 
 #: Words of a seed, and of windows that keep one each: two texts that share K + WINDOW - 1 words in a row share a seed.
@@ -211,12 +211,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     as a whole; rows that repeat a doc_id count as one document (one of its texts is aligned). An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    seeds = docs.mapInArrow(_seeds, "seed long, doc_id long, place long")
+    seeds = in_batches(docs, _seeds, "seed long, doc_id long, place long")
     heads = seeds.groupBy("seed").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").drop("tail")
     hits = cut(seeds.join(heads, "seed"))
     first = hits.where("doc_id = head").groupBy("seed", "head").agg(F.min("place").alias("at"))
     found = hits.where("doc_id > head").join(first, ["seed", "head"]).groupBy("doc_id", "head").agg(F.collect_list(F.struct("place", "at")).alias("hits"))
-    chained = cut(found.mapInArrow(_chain, "doc_id long, source_id long, words array<int>, source_words array<int>, low long, high long, source_low long, source_high long"))
+    chained = cut(in_batches(found, _chain, "doc_id long, source_id long, words array<int>, source_words array<int>, low long, high long, source_low long, source_high long"))
     ids = cut(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
     texts = restrict(docs, "doc_id", ids).select("doc_id", F.encode("text", "utf-8").alias("raw"))
     texts = texts if not _repeats(docs, ids) else texts.groupBy("doc_id").agg(F.max("raw").alias("raw"))
@@ -225,7 +225,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pairs = chained.join(sources.hint("merge"), "source_id").withColumn("source_part", part("source_raw", "source_low", "source_high")).drop("source_raw")
     pairs = pairs.join(texts.hint("merge"), "doc_id").withColumn("text_part", part("raw", "low", "high")).drop("raw")
     pairs = pairs.withColumn("text_from", F.greatest(F.col("low") - PAD, F.lit(0))).withColumn("source_from", F.greatest(F.col("source_low") - PAD, F.lit(0)))
-    return pairs.mapInArrow(_align, PASSAGE)
+    return in_batches(pairs, _align, PASSAGE)
 
 
 def _repeats(docs: DataFrame, ids: DataFrame) -> bool:
@@ -258,7 +258,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans = cut(spans)
     schema = docs.schema
     joined = restrict(docs, "doc_id", spans, "left")
-    out = joined.mapInArrow(_remove, schema)
+    out = in_batches(joined, _remove, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(schema["n_chars"].dataType))
     return out.select(*docs.columns)
