@@ -150,6 +150,28 @@ def _extended(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
     return length, found
 
 
+def _parts(agree: list[int], span: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last seeds of disjoint parts of a chain that are alike enough, the longest first: all of it, if it is.
+
+    A part may start at a seed that is lower in the running sum of agree - SIMILARITY * span than all before it;
+    the longest one that ends at each seed is found by passing these from the right.
+    """
+    total = np.cumsum(np.array(agree) - SIMILARITY * np.array(span)).tolist()
+    waiting = [(0, len(agree))]
+    while waiting:
+        low, high = waiting.pop()
+        starts: list[int] = []
+        for i in range(low, high):
+            if not starts or total[i] < total[starts[-1]]:
+                starts.append(i)
+        best = (low, low)
+        for j in range(high - 1, low - 1, -1):
+            while starts and total[j] - total[starts[-1]] + K * (1 - SIMILARITY) >= -1e-9:
+                best = max(best, (starts.pop(), j), key=lambda x: x[1] - x[0])
+        yield best
+        waiting += [(a, b) for a, b in ((low, best[0]), (best[1] + 1, high)) if a < b]
+
+
 def _tokens(raw: bytes, first: int, anchor_byte: int) -> tuple[list[bytes], list[int], list[int], int]:
     """Words of a slice with their byte places in the text, and the index of the word at anchor_byte."""
     data = LOWER[np.frombuffer(raw, np.uint8)]
@@ -171,22 +193,29 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, begin, end, ia = _tokens(part, first, low)
             b, _, _, ib = _tokens(source_part, source_first, source_low)
             shift, source_shift = ia - at[0], ib - to[0]  # word numbers of the texts to those of the slices
-            agree, n = K, len(at)
-            x, y = at[0] + K, to[0] + K
-            for j in range(1, n):
-                s, t = at[j], to[j]
+            agree, span = [0], [0]  # of every step from one seed to the next: words that agree, and words of the longer side
+            for (s0, t0), (s, t) in zip(zip(at, to), zip(at[1:], to[1:]), strict=False):
+                x, y = s0 + K, t0 + K
                 if s >= x and t >= y:
-                    agree += _agreeing(a[x + shift : s + shift], b[y + source_shift : t + source_shift]) + K
+                    agree.append(_agreeing(a[x + shift : s + shift], b[y + source_shift : t + source_shift]) + K)
                 else:  # seeds overlap: only what is new counts
-                    agree += max(0, K - max(x - s, y - t))
-                x, y = s + K, t + K
-            right, more = _extended(a[x + shift :], b[y + source_shift :])
-            left, less = _extended(a[: at[0] + shift][::-1], b[: to[0] + source_shift][::-1])
-            agree += more + less
-            start, stop, source_start, source_stop = at[0] - left, x + right, to[0] - left, y + right
-            alike = min(1.0, agree / max(stop - start, source_stop - source_start))
-            if stop - start >= LEAST and alike >= SIMILARITY:
-                rows.append((doc, start, stop, begin[start + shift], end[stop - 1 + shift], source, source_start, source_stop, agree, alike))
+                    agree.append(max(0, K - max(x - s, y - t)))
+                span.append(max(s - s0, t - t0))
+            done: list[tuple[int, int]] = []
+            for p, q in [(0, len(at) - 1), *_parts(agree, span)]:  # with its ends the whole may do where its seeds alone don't
+                core, x, y = K + sum(agree[p + 1 : q + 1]), at[q] + K, to[q] + K
+                right, more = _extended(a[x + shift :], b[y + source_shift :])
+                left, less = _extended(a[: at[p] + shift][::-1], b[: to[p] + source_shift][::-1])
+                for r, m, e, n in ((right, more, left, less), (0, 0, 0, 0)):  # ends that agree too little don't cost the rest
+                    start, stop, source_start, source_stop = at[p] - e, x + r, to[p] - e, y + r
+                    alike = min(1.0, (core + m + n) / max(stop - start, source_stop - source_start))
+                    if stop - start >= LEAST and alike >= SIMILARITY:
+                        if not any(u <= start and stop <= v for u, v in done):
+                            done.append((start, stop))
+                            rows.append((doc, start, stop, begin[start + shift], end[stop - 1 + shift], source, source_start, source_stop, core + m + n, alike))
+                        break
+                if done and (p, q) == (0, len(at) - 1):
+                    break
         columns_out = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_out, kinds, strict=True)], names)
 
@@ -204,7 +233,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Every text is cut into K-word seeds, kept by winnowing; a seed's occurrences join with the
     smallest doc_id that has it, not with each other, so the matches grow with the input however often a
     passage repeats. Matches of a document and its source are chained in both orders with gap costs and
-    the chains aligned word by word, gaps and ends included; only the chains' own bytes are moved for it. Passages that repeat
+    the chains aligned word by word, gaps and ends included. A chain that is not alike enough as a whole is split into its longest parts that are; only the chains' own bytes are moved for it. Passages that repeat
     only within one document aren't looked for.
 
     Null texts, texts of fewer than LEAST words and rows with a null doc_id take no part; exact copies are repeated
