@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +65,84 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), ids, pa.array(place)], ["seed", "doc_id", "place"])
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where a run of LEAST words that another text has too may begin: all its seeds are shared."""
+    for batch in batches:
+        ids, lows, highs = [], [], []
+        for doc, places in zip(batch.column("doc_id").to_pylist(), batch.column("places"), strict=True):
+            at = np.unique(places.values.to_numpy(zero_copy_only=False))
+            breaks = np.flatnonzero(np.diff(at) > WINDOW)
+            first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
+            # the first seed is among the first WINDOW windows of the run, the last one among the last
+            low, high = np.maximum(first - (WINDOW - 1), 0), last - (LEAST - K - WINDOW + 1)
+            if (low <= high).any():
+                ids.append(doc)
+                lows.append(low[low <= high].tolist())
+                highs.append(high[low <= high].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))], ["doc_id", "__low", "__high"])
+
+
+def _apart(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Windows that don't overlap the last kept one of the same words; the last of such a run stays too."""
+    if len(np.unique(value)) == len(value):
+        return np.ones(len(value), bool)
+    keep, kept, seen = np.ones(len(value), bool), {}, {}
+    for i, (v, t) in enumerate(zip(value.tolist(), at.tolist(), strict=True)):
+        if v in seen and t - at[seen[v]] >= LEAST:
+            keep[seen[v]] = True
+        seen[v] = i
+        keep[i] = v not in kept or t - kept[v] >= LEAST
+        if keep[i]:
+            kept[v] = t
+    keep[list(seen.values())] = True
+    return keep
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of LEAST words in the stretches of each text, with the places of their first and last seed."""
+    for whole in batches:
+        for part in chunks(whole, "text"):
+            data, offsets = text_buffer(part.column("text"))
+            data = LOWER[data]
+            starts, ends, ranges = words(data, offsets)
+            value, _ = windows(word_hashes(data, starts, ends), ranges, LEAST)
+            rows, places, kept = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, np.uint64)]
+            for i, (low, high) in enumerate(zip(part.column("__low").to_pylist(), part.column("__high").to_pylist(), strict=True)):
+                a, last = int(ranges[i]), int(ranges[i + 1] - ranges[i]) - LEAST
+                at = np.unique(np.concatenate([np.arange(x, min(y, last) + 1) for x, y in zip(low, high, strict=True)]))
+                at = at[_apart(value[at + a], at)] + a
+                rows.append(np.full(len(at), i))
+                places.append(at)
+                kept.append(value[at])
+            row, at = np.concatenate(rows), np.concatenate(places)
+            ids = part.column("doc_id").cast(pa.int64()).take(pa.array(row))
+            place, end = ((starts[x] - offsets[row]) << 31 | (x - ranges[row]) for x in (at, at + LEAST - K))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), ids, pa.array(place), pa.array(end)], ["seed", "doc_id", "place", "end"])
+
+
+def _shared(seeds: DataFrame) -> DataFrame:
+    """Seeds that several documents have, with the smallest of these as head."""
+    heads = seeds.groupBy("seed").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").drop("tail")
+    return cut(seeds.join(heads, "seed"))
+
+
+def _run_matches(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, head, place, at, run: seeds of runs of LEAST words, matched with the earliest document that has the whole run.
+
+    Of runs that go on alike, each LEAST beginnings give their first and last.
+    """
+    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))
+    places = hits.groupBy("doc_id").agg(F.collect_list(word("place").cast("int")).alias("places"))
+    stretches = cut(in_batches(places, _stretches, "doc_id long, __low array<int>, __high array<int>"))
+    same = cut(in_batches(restrict(docs, "doc_id", stretches, "inner"), _runs, "seed long, doc_id long, place long, end long"))
+    same = _shared(same)
+    first = same.where("doc_id = head").groupBy("seed", "head").agg(F.min("place").alias("at"), F.min("end").alias("at_end"))
+    pairs = same.where("doc_id > head").join(first, ["seed", "head"])
+    pairs = pairs.groupBy("doc_id", "head", word("place") - word("at"), F.floor(word("place") / LEAST)).agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("place", "at", "end", "at_end")))
+    ends = [F.struct(F.col(f"{f}_{a}").alias("place"), F.col(f"{f}_{b}").alias("at")) for f in ("min", "max") for a, b in (("place", "at"), ("end", "at_end"))]
+    return pairs.select("doc_id", "head", F.inline(F.array(*ends))).withColumn("run", F.lit(True))
+
+
 def chains(anchors: list[tuple[int, int]], k: int = K, gap: int = GAP) -> list[list[tuple[int, int]]]:
     """Disjoint collinear chains of anchors (place in text, place in source), best first.
 
@@ -105,6 +183,23 @@ def chains(anchors: list[tuple[int, int]], k: int = K, gap: int = GAP) -> list[l
     return out
 
 
+def _held(chain: list[tuple[int, int]], held: dict[int, list[int]]) -> bool:
+    """Has an earlier chain a seed within every run of this one, at the same place of the source?"""
+    for i, (t, s) in enumerate(chain):
+        if i and t - s == chain[i - 1][0] - chain[i - 1][1] and t - chain[i - 1][0] < LEAST:
+            continue
+        last = t
+        for u, v in chain[i + 1 :]:
+            if u - v != t - s or u - last >= LEAST:
+                break
+            last = u
+        at = held.get(t - s, [])
+        j = bisect_left(at, t)
+        if j == len(at) or at[j] > last:
+            return False
+    return True
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "source_id", "words", "source_words", "low", "high", "source_low", "source_high"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 4]
@@ -112,12 +207,16 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for doc, source, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "head", "hits")), strict=True):
-            where = {(h["place"] & mask, h["at"] & mask): (h["place"] >> 31, h["at"] >> 31) for h in hits}
-            for chain in chains(list(where)):
-                # fewer words than a window at either end of a passage hold no seed
-                if chain[-1][0] + K - chain[0][0] >= LEAST - 2 * (WINDOW - 1):
-                    (a, c), (b, d) = where[chain[0]], where[chain[-1]]
-                    rows.append((doc, source, [t for t, _ in chain], [s for _, s in chain], a, b, c, d))
+            seeds, runs = ({(h["place"] & mask, h["at"] & mask): (h["place"] >> 31, h["at"] >> 31) for h in hits if h["run"] == kind} for kind in (False, True))
+            held: dict[int, list[int]] = {}
+            for where in (seeds, runs):
+                for chain in chains(list(where)):
+                    # fewer words than a window at either end of a passage hold no seed
+                    if chain[-1][0] + K - chain[0][0] >= LEAST - 2 * (WINDOW - 1) and not (where is runs and _held(chain, held)):
+                        (a, c), (b, d) = where[chain[0]], where[chain[-1]]
+                        rows.append((doc, source, [t for t, _ in chain], [s for _, s in chain], a, b, c, d))
+                        for t, s in chain:
+                            insort(held.setdefault(t - s, []), t)
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -220,6 +319,21 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_out, kinds, strict=True)], names)
 
 
+def _widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the passages of a document and its source those that no other one holds."""
+    names = [f.split()[0] for f in PASSAGE.split(", ")]
+    kinds = [*[pa.int64()] * 9, pa.float64()]
+    for batch in batches:
+        out = []
+        for rows in batch.column("rows").to_pylist():
+            far = -1
+            for r in sorted(rows, key=lambda r: (r["start_word"], -r["end_word"], -r["similarity"], r["source_start_word"])):
+                if r["end_word"] > far:  # all before start no later
+                    far = r["end_word"]
+                    out.append(r)
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in zip(names, kinds, strict=True)], names)
+
+
 PASSAGE = "doc_id long, start_word long, end_word long, start_byte long, end_byte long, source_doc_id long, source_start_word long, source_end_word long, n_agreeing long, similarity double"
 
 
@@ -241,10 +355,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     seeds = in_batches(docs, _seeds, "seed long, doc_id long, place long")
-    heads = seeds.groupBy("seed").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").drop("tail")
-    hits = cut(seeds.join(heads, "seed"))
+    hits = _shared(seeds)
     first = hits.where("doc_id = head").groupBy("seed", "head").agg(F.min("place").alias("at"))
-    found = hits.where("doc_id > head").join(first, ["seed", "head"]).groupBy("doc_id", "head").agg(F.collect_list(F.struct("place", "at")).alias("hits"))
+    matches = hits.where("doc_id > head").join(first, ["seed", "head"]).select("doc_id", "head", "place", "at", F.lit(False).alias("run"))
+    matches = matches.unionByName(_run_matches(docs, hits))
+    found = matches.groupBy("doc_id", "head").agg(F.collect_list(F.struct("place", "at", "run")).alias("hits"))
     chained = cut(in_batches(found, _chain, "doc_id long, source_id long, words array<int>, source_words array<int>, low long, high long, source_low long, source_high long"))
     ids = cut(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
     texts = restrict(docs, "doc_id", ids).select("doc_id", F.encode("text", "utf-8").alias("raw"))
@@ -254,7 +369,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pairs = chained.join(sources.hint("merge"), "source_id").withColumn("source_part", part("source_raw", "source_low", "source_high")).drop("source_raw")
     pairs = pairs.join(texts.hint("merge"), "doc_id").withColumn("text_part", part("raw", "low", "high")).drop("raw")
     pairs = pairs.withColumn("text_from", F.greatest(F.col("low") - PAD, F.lit(0))).withColumn("source_from", F.greatest(F.col("source_low") - PAD, F.lit(0)))
-    return in_batches(pairs, _align, PASSAGE)
+    rows = in_batches(pairs, _align, PASSAGE)
+    rows = rows.groupBy("doc_id", "source_doc_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    return in_batches(rows.select("rows"), _widest, PASSAGE)
 
 
 def _repeats(docs: DataFrame, ids: DataFrame) -> bool:

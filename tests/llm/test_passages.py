@@ -13,3 +13,30 @@ def test_two_passages_with_other_words_between(spark, between):
     texts = {i: " ".join([prose(40), first, prose(between), second, prose(40)]) for i in (1, 2)}
     got = substring_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert sorted((x["doc_id"], x["start_word"], x["end_word"], x["similarity"]) for x in got) == [(2, 40, 100, 1.0), (2, 100 + between, 160 + between, 1.0)]
+
+
+def covered(spark, texts):
+    """For each document the words that stand in its passages."""
+    out = {i: set() for i in texts}
+    for x in substring_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        out[x["doc_id"]] |= set(range(x["start_word"], x["end_word"]))
+    return out
+
+
+def test_passages_whose_parts_stand_in_other_documents(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghijklm", k=8)) for _ in range(n))
+    texts = {}
+    for i in range(0, 240, 12):
+        passage = prose(60).split()
+        for j in range(3):  # sentences of 20 words, each also in an earlier document
+            texts[i + j] = " ".join([prose(30), *passage[20 * j : 20 * j + 20], prose(30)])
+        texts[i + 3] = " ".join([prose(40), *passage, prose(20)])
+        texts[i + 4] = " ".join([prose(25), *passage, prose(20)])
+        passage = prose(55).split()
+        texts[i + 5] = " ".join([prose(30), *passage[:30], prose(30)])
+        texts[i + 6] = " ".join([prose(40), *passage, prose(20)])
+        texts[i + 7] = " ".join([prose(25), *passage, prose(20)])
+    got = covered(spark, texts)
+    assert all(got[i + 4] >= set(range(25, 85)) and got[i + 7] >= set(range(25, 80)) for i in range(0, 240, 12))
+    assert all(not got[i + j] for i in range(0, 240, 12) for j in (0, 1, 2, 5))
