@@ -44,25 +44,31 @@ def numbered(seeds: np.ndarray) -> np.ndarray:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds, numbered; of a repeated one also its later occurrences without their number (again)."""
     for whole in batches:
         for part in chunks(whole, "text"):
             data, offsets = text_buffer(part.column("text"))
             data = LOWER[data]
             starts, ends, ranges = words(data, offsets)
             value, _ = windows(word_hashes(data, starts, ends), ranges, K)
-            rows, places, kept = [], [], []
+            rows, places, kept, plain = [], [], [], []
             for i, (a, b) in enumerate(zip(ranges[:-1].tolist(), ranges[1:].tolist(), strict=True)):
                 if b - a >= K:
                     at = winnow(value[a : b - K + 1], WINDOW) + a
                     rows.append(np.full(len(at), i))
                     places.append(at)
                     kept.append(numbered(value[at]))
+                    plain.append(value[at])
             if not rows:
                 continue
             row, at = np.concatenate(rows), np.concatenate(places)
             ids = part.column("doc_id").cast(pa.int64()).take(pa.array(row))
             place = (starts[at] - offsets[row]) << 31 | (at - ranges[row])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), ids, pa.array(place)], ["seed", "doc_id", "place"])
+            seed, bare = np.concatenate(kept), np.concatenate(plain)
+            again = np.flatnonzero(seed != bare)
+            order = pa.array(np.concatenate([np.arange(len(seed)), again]))
+            seed, flags = np.concatenate([seed, bare[again]]), np.arange(len(order)) >= len(seed)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), ids.take(order), pa.array(place).take(order), pa.array(flags)], ["seed", "doc_id", "place", "again"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +360,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     as a whole; rows that repeat a doc_id count as one document (one of its texts is aligned). An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    seeds = in_batches(docs, _seeds, "seed long, doc_id long, place long")
+    seeds = in_batches(docs, _seeds, "seed long, doc_id long, place long, again boolean")
     hits = _shared(seeds)
-    first = hits.where("doc_id = head").groupBy("seed", "head").agg(F.min("place").alias("at"))
-    matches = hits.where("doc_id > head").join(first, ["seed", "head"]).select("doc_id", "head", "place", "at", F.lit(False).alias("run"))
+    once = hits.where("not again")
+    first = once.where("doc_id = head").groupBy("seed", "head").agg(F.min("place").alias("at"))
+    matches = once.where("doc_id > head").join(first, ["seed", "head"]).select("doc_id", "head", "place", "at", F.lit(False).alias("run"))
     matches = matches.unionByName(_run_matches(docs, hits))
     found = matches.groupBy("doc_id", "head").agg(F.collect_list(F.struct("place", "at", "run")).alias("hits"))
     chained = cut(in_batches(found, _chain, "doc_id long, source_id long, words array<int>, source_words array<int>, low long, high long, source_low long, source_high long"))

@@ -40,3 +40,21 @@ def test_passages_whose_parts_stand_in_other_documents(spark):
     got = covered(spark, texts)
     assert all(got[i + 4] >= set(range(25, 85)) and got[i + 7] >= set(range(25, 80)) for i in range(0, 240, 12))
     assert all(not got[i + j] for i in range(0, 240, 12) for j in (0, 1, 2, 5))
+
+
+def test_a_document_with_several_copies_of_a_passage(spark):
+    r = random.Random(7)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghijklm", k=8)) for _ in range(n))
+    passage, other = prose(60), prose(60)
+    texts = {
+        1: " ".join([prose(30), passage, prose(30)]),
+        2: " ".join([passage, prose(40), passage, prose(35), passage]),
+        3: " ".join([prose(20), other, prose(20), other]),  # within one document alone
+        4: "one " * 60,
+        5: prose(10) + " " + "one " * 500 + prose(10),
+    }
+    got = covered(spark, texts)
+    assert got[2] == {*range(60), *range(100, 160), *range(195, 255)} and not got[1] and not got[3] and not got[4]
+    assert got[5] == set(range(10, 510))
+    left = substring_dedup.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("doc_id = 2").first()
+    assert passage not in left["text"] and len(left["text"].split()) == 75
