@@ -17,11 +17,16 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where none is set (tests)."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where none is named, one of its own in local mode (one machine, as in tests); on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tabulon-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabulon-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named
 
 
@@ -40,12 +45,54 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def restrict(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join df with ids (unique in `key`); ids is broadcast only if a count shows it is within `limit` rows."""
-    small = ids.limit(limit + 1).count() <= limit
+def restrict(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_ROWS, sizes: str | None = None) -> DataFrame:
+    """Join df with ids (unique in `key`); ids is broadcast only if a count shows it is within `limit` rows.
+
+    `sizes` names an array column of ids whose elements count instead of rows.
+    """
+    if sizes:
+        small = (ids.agg(F.sum(F.greatest(F.size(sizes), F.lit(1)))).first()[0] or 0) <= limit
+    else:
+        small = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, changed where df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def rows_of(df: DataFrame, *more: Column) -> DataFrame:
+    """Whole rows of df as one column `row`, beside `more`: helper columns then can't clash with its names."""
+    return df.select(F.struct(*map(quoted, df.columns)).alias("row"), *more)
+
+
+def repeats(docs: DataFrame) -> bool:
+    """Does a doc_id stand on more than one row?"""
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def one_text(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with one row for each doc_id: of several texts the one of least hash."""
+    if not repeats(docs):
+        return docs
+    digest = F.md5(F.encode("text", "utf-8"))
+    least = docs.groupBy("doc_id").agg(F.min(digest).alias("digest"))
+    return docs.withColumn("digest", digest).join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).drop("digest")
+
+
 def in_batches(df: DataFrame, function: Callable, schema: object) -> DataFrame:
     """df.mapInArrow, in batches of about BATCH_BYTES at most; a longer row stands alone.
 
@@ -59,7 +106,7 @@ def in_batches(df: DataFrame, function: Callable, schema: object) -> DataFrame:
 
 def key_of(name: str) -> Column:
     """A value as a string that is never null; null differs from every value."""
-    return F.when(F.col(name).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(name).cast("string")))
+    return F.when(quoted(name).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), quoted(name).cast("string")))
 
 
 def buckets_for(rows: int) -> int:
@@ -67,32 +114,33 @@ def buckets_for(rows: int) -> int:
     return max(1, math.isqrt(max(rows, 1)))
 
 
-def ranked(df: DataFrame, rows: int, tie: list[str], seed: int, weight: str | None = None) -> DataFrame:
-    """Rank the rows of each `__key` in a seeded pseudo-random order without gathering a key in one task.
+def ranked(df: DataFrame, rows: int, tie: list[Column], seed: int, weight: str | None = None) -> DataFrame:
+    """Rank the rows of each `key` in a seeded pseudo-random order without gathering a key in one task.
 
     Rows of a key are dealt by hash into about sqrt(rows) buckets; the rank is that within the
-    bucket plus the counts of the key's earlier buckets. Adds __h, __rank (from 1), __total (rows of
-    the key) and, given `weight` (a column of whole numbers), __before (weight of earlier rows)
-    and __sum (weight of the key). `tie` names columns that tell rows apart; rows equal in
-    all of them take neighbouring ranks in either order.
+    bucket plus the counts of the key's earlier buckets. Adds hash, rank (from 1), total (rows of
+    the key) and, given `weight` (a column of whole numbers), before (weight of earlier rows)
+    and sum (weight of the key). `tie` are columns that tell rows apart; rows equal in
+    all of them take neighbouring ranks in either order. Names of df other than key and the weight must
+    differ from the added ones and from bucket: hand in rows_of().
     """
     n = buckets_for(rows)
-    df = df.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(c) for c in tie])).withColumn("__b", F.pmod(F.col("__h"), F.lit(n)))
-    sums = [F.count(F.lit(1)).alias("__c"), F.sum(F.col(weight) if weight else F.lit(0)).alias("__w")]
-    key, upto = Window.partitionBy("__key"), Window.partitionBy("__key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy("__key", "__b").agg(*sums).select(
-        "__key", "__b",
-        F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__c0"), F.coalesce(F.sum("__w").over(upto), F.lit(0)).alias("__w0"),
-        F.sum("__c").over(key).alias("__total"), F.sum("__w").over(key).alias("__sum"),
+    df = df.withColumn("hash", F.xxhash64(F.lit(seed), *tie)).withColumn("bucket", F.pmod(F.col("hash"), F.lit(n)))
+    sums = [F.count(F.lit(1)).alias("c"), F.sum(F.col(weight) if weight else F.lit(0)).alias("w")]
+    key, upto = Window.partitionBy("key"), Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy("key", "bucket").agg(*sums).select(
+        "key", "bucket",
+        F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("c0"), F.coalesce(F.sum("w").over(upto), F.lit(0)).alias("w0"),
+        F.sum("c").over(key).alias("total"), F.sum("w").over(key).alias("sum"),
     )
-    inside = Window.partitionBy("__key", "__b").orderBy("__h", *tie)
-    df = df.withColumn("__rank", F.row_number().over(inside).cast("long"))
+    inside = Window.partitionBy("key", "bucket").orderBy("hash", *tie)
+    df = df.withColumn("rank", F.row_number().over(inside).cast("long"))
     if weight:
-        df = df.withColumn("__before", F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    df = df.join(offsets, ["__key", "__b"]).withColumn("__rank", F.col("__rank") + F.col("__c0"))
+        df = df.withColumn("before", F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    df = df.join(offsets, ["key", "bucket"]).withColumn("rank", F.col("rank") + F.col("c0"))
     if weight:
-        df = df.withColumn("__before", F.col("__before") + F.col("__w0"))
-    return df.drop("__b", "__c0", "__w0", *([] if weight else ["__sum"]))
+        df = df.withColumn("before", F.col("before") + F.col("w0"))
+    return df.drop("bucket", "c0", "w0", *([] if weight else ["sum"]))
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

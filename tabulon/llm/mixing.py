@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, key_of, ranked
+from .common import buckets_for, cut, key_of, quoted, ranked, rows_of
 
 #: Distinct sources whose totals the driver may hold.
 MOST_SOURCES = 100_000
@@ -103,45 +103,51 @@ def mixed(docs: DataFrame, source: str = "source", tokens: str | None = None, ti
     tokens: a column of token counts; without it the words of `text` count. Null sources are a source
     of their own; texts without tokens are in every whole block, and in a source without any tokens all
     rows stand once, in block 0; an empty table gives an empty result. Repeated rows are rows of their own. Columns
-    of the added names are replaced.
+    of the added names are replaced, others keep their names and values, whatever these are.
 
     Per source only sums go to the driver (checked to be at most MOST_SOURCES); ranks and running
     sums never gather a source in one task (common.ranked).
     """
-    docs = docs.drop("mix_block", "mix_place", "mix_weight")
-    base, rows, quotas = _quotas(docs, source, tokens, target_entropy, repeat_limit, budget)
-    dealt, _ = _dealt(base, rows, quotas, list(tie), seed)
-    return dealt.select(*docs.columns, "mix_block", F.col("__rank").alias("mix_place"), "mix_weight")
-
-
-def _quotas(docs: DataFrame, source: str, tokens: str | None, target_entropy: float | None, repeat_limit: float | None, budget: int | None) -> tuple[DataFrame, int, DataFrame]:
-    """docs with __key and __tokens, an upper bound of its blocks' rows, and per source whole blocks, rest and weight."""
-    base = docs.withColumn("__key", key_of(source)).withColumn("__tokens", F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else word_count(F.col("text")))
-    sums = base.groupBy("__key").agg(F.sum("__tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    kept = [c for c in docs.columns if c.lower() not in ("mix_block", "mix_place", "mix_weight")]
+    count = F.coalesce(quoted(tokens).cast("long"), F.lit(0)) if tokens else word_count(F.col("text"))
+    ties = [quoted(c).alias(f"tie{i}") for i, c in enumerate(tie)]
+    base = rows_of(docs.select(*map(quoted, kept)), key_of(source).alias("key"), count.alias("tokens"), *ties)
+    rows, quotas = _quotas(base, target_entropy, repeat_limit, budget)
+    dealt, _ = _dealt(base, rows, quotas, [F.col(f"tie{i}") for i in range(len(tie))], seed)
+    return dealt.select(*(F.col("row").getField(c).alias(c) for c in kept), "mix_block", F.col("rank").alias("mix_place"), "mix_weight")
+
+
+def _quotas(base: DataFrame, target_entropy: float | None, repeat_limit: float | None, budget: int | None) -> tuple[int, DataFrame]:
+    """Of base (key, tokens): an upper bound of its blocks' rows, and per source whole blocks, rest and weight."""
+    sums = base.groupBy("key").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals = {r["__key"]: r["t"] for r in sums}
+    totals = {r["key"]: r["t"] for r in sums}
     plan = plan_mixture(totals, target_entropy, repeat_limit, budget)
     table = []
     for s, total in totals.items():
         whole, rest = divmod(plan.quotas.get(s, 0), total) if total else (1, 0)
         table.append((s, int(whole), int(rest), plan.weights.get(s, 0.0)))
     rows = sum(r["n"] for r in sums) * max((w + (r > 0) for _, w, r, _ in table), default=1)
-    return base, rows, docs.sparkSession.createDataFrame(table, "__key string, __whole long, __rest long, mix_weight double")
+    return rows, base.sparkSession.createDataFrame(table, "key string, whole long, rest long, mix_weight double")
 
 
-def _dealt(base: DataFrame, rows: int, quotas: DataFrame, tie: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+def _dealt(base: DataFrame, rows: int, quotas: DataFrame, tie: list[Column], seed: int) -> tuple[DataFrame, DataFrame]:
     """The uses of all rows with their place in their block, and those of the cut last blocks only."""
-    blocks = base.join(F.broadcast(quotas), "__key").withColumn("mix_block", F.explode(F.expr("if(__whole + __rest > 0, sequence(0L, __whole + if(__rest > 0, 0L, -1L)), array())")))
-    blocks = blocks.withColumn("__source", F.col("__key")).withColumn("__key", F.concat_ws("\u0001", "mix_block", "__key"))
-    dealt = ranked(blocks, rows, ["mix_block", *tie], seed, "__tokens")
-    last = F.col("mix_block") == F.col("__whole")
-    return dealt.where(~last | (F.col("__before") < F.col("__rest"))), ranked(blocks.where(last), rows, ["mix_block", *tie], seed, "__tokens").where(F.col("__before") < F.col("__rest"))
+    blocks = base.join(F.broadcast(quotas), "key").withColumn("mix_block", F.explode(F.expr("if(whole + rest > 0, sequence(0L, whole + if(rest > 0, 0L, -1L)), array())")))
+    blocks = blocks.withColumn("source", F.col("key")).withColumn("key", F.concat_ws("\u0001", "mix_block", "key"))
+    order = [F.col("mix_block"), *tie]
+    dealt = ranked(blocks, rows, order, seed, "tokens")
+    last = F.col("mix_block") == F.col("whole")
+    return dealt.where(~last | (F.col("before") < F.col("rest"))), ranked(blocks.where(last), rows, order, seed, "tokens").where(F.col("before") < F.col("rest"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """A row for each use of a document: doc_id, source, tokens (words), mix_block, mix_place, mix_weight; texts aren't shuffled."""
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("tokens"))
+    """A row for each use of a document: doc_id, source, tokens (words), mix_block, mix_place, mix_weight; texts aren't shuffled.
+
+    The narrow table of ids and word counts is written once, so that the words are counted once.
+    """
+    narrow = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("tokens")))
     return mixed(narrow, tokens="tokens", tie=("doc_id", "tokens"))
 
 
@@ -149,16 +155,19 @@ def mixed_documents(docs: DataFrame, source: str = "source", target_entropy: flo
     """docs with each row as often as `mixed` uses it, columns as before and without shuffling texts.
 
     A cut last block is a prefix of its seeded order, so one bound per source (found on ids and
-    token counts alone) tells which rows are in it. Rows equal in doc_id and token count are used alike.
+    token counts alone) tells which rows are in it. Rows equal in doc_id and token count are used alike. Columns keep their names, whatever these are.
     """
-    narrow = docs.select("doc_id", source, word_count(F.col("text")).alias("__t"))
-    base, rows, quotas = _quotas(narrow, source, "__t", target_entropy, repeat_limit, budget)
-    tie = ["doc_id", "__t"]
+    base = cut(docs.select(key_of(source).alias("key"), word_count(F.col("text")).alias("tokens"), quoted("doc_id").alias("id")))
+    rows, quotas = _quotas(base, target_entropy, repeat_limit, budget)
+    tie = [F.col("id"), F.col("tokens")]
     _, cut_blocks = _dealt(base, rows, quotas, tie, seed)
-    at = F.struct(F.pmod("__h", F.lit(buckets_for(rows))).alias("b"), "__h", *tie)
-    bounds = cut_blocks.groupBy(F.col("__source").alias("__key")).agg(F.max(at).alias("__bound"))
-    bounds = quotas.join(bounds, "__key", "left")  # at most MOST_SOURCES rows
-    full = docs.withColumn("__key", key_of(source)).withColumn("__t", word_count(F.col("text"))).join(F.broadcast(bounds), "__key")
-    full = full.withColumn("__h", F.xxhash64(F.lit(seed), F.col("__whole"), *[F.col(c) for c in tie]))
-    more = F.when(F.col("__bound").isNotNull() & (at <= F.col("__bound")), 1).otherwise(0)
-    return full.withColumn("__use", F.explode(F.array_repeat(F.lit(0), (F.col("__whole") + more).cast("int")))).select(*docs.columns)
+    at = F.struct(F.pmod("hash", F.lit(buckets_for(rows))).alias("bucket"), "hash", "id", "tokens")
+    bounds = cut_blocks.groupBy(F.col("source").alias("key")).agg(F.max(at).alias("bound"))
+    bounds = quotas.join(bounds, "key", "left")  # at most MOST_SOURCES rows
+    # words are counted again only where a last block is cut: that is cheaper than joining the counts to the texts
+    full = rows_of(docs, key_of(source).alias("key"), quoted("doc_id").alias("id")).join(F.broadcast(bounds), "key")
+    full = full.withColumn("tokens", F.when(F.col("bound").isNotNull(), word_count(F.col("row").getField("text"))).otherwise(F.lit(0)).cast("long"))
+    full = full.withColumn("hash", F.xxhash64(F.lit(seed), F.col("whole"), F.col("id"), F.col("tokens")))
+    more = F.when(F.col("bound").isNotNull() & (at <= F.col("bound")), 1).otherwise(0)
+    full = full.withColumn("use", F.explode(F.array_repeat(F.lit(0), (F.col("whole") + more).cast("int"))))
+    return full.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, in_batches, ranked
+from .common import cut, free_names, in_batches, quoted, ranked, rows_of
 
 LENGTH = 2048
 END = 0
@@ -283,16 +284,16 @@ def _deal(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]
     return tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
-def _place(slots: tuple[np.ndarray, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _place(slots: tuple[np.ndarray, ...], rank_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     size, first, base, often, offset = slots
     key = (size << 44) + first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "__rank"))
+            length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", rank_column))
             at = np.searchsorted(key, (length << 44) + rank - 1, "right") - 1
             copy, item = np.divmod(rank - 1 - first[at], often[at])
-            kept = [c for c in batch.schema.names if c != "__rank"]
+            kept = [c for c in batch.schema.names if c != rank_column]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(base[at] + copy), pa.array(offset[at] + item * length)], [*kept, "sequence_id", "offset"])
 
     return run
@@ -310,10 +311,13 @@ def packed(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     for row in pieces.groupBy("length").count().collect():  # at most `length` rows
         counts[row["length"]] = row["count"]
     slots = _deal(bin_completion(counts, length))
-    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    dealt = ranked(pieces.select(*keep, F.col("length").alias("__key")), int(counts.sum()), ["doc_id", "piece", "start", "ids_crc32"], 29).select(*keep, "__rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*keep).schema) + ", sequence_id long, offset long"
-    return in_batches(dealt, _place(slots), schema)
+    keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    rank = free_names(pieces, "rank")[0]
+    ties = [F.col("row").getField(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
+    dealt = ranked(rows_of(pieces.select(*map(quoted, keep)), F.col("length").alias("key")), int(counts.sum()), ties, 29)
+    dealt = dealt.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("rank").alias(rank))
+    schema = T.StructType([*pieces.select(*map(quoted, keep)).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return in_batches(dealt, _place(slots, rank), schema)
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, key_of, ranked
+from .common import buckets_for, key_of, quoted, ranked, rows_of
 
 
 def interleaved_shards(docs: DataFrame, n_shards: int = 40, source: str = "source", tie: tuple[str, ...] = ("doc_id",), seed: int = 17) -> DataFrame:
@@ -20,24 +20,24 @@ def interleaved_shards(docs: DataFrame, n_shards: int = 40, source: str = "sourc
 
     Nulls in any column are values like others (a null source is a source of its own); rows equal
     in all `tie` columns and in source take neighbouring places in either order; columns named
-    shard or slot are replaced; an empty table gives an empty result; with fewer rows than shards
-    some shards are empty. Law: row counts at most one apart.
+    shard or slot are replaced, others keep their names and values, whatever these are; an empty table
+    gives an empty result; with fewer rows than shards some shards are empty. Law: row counts at most one apart.
     """
     rows = docs.count()
-    docs = docs.drop("shard", "slot")
-    tie = list(tie)
-    placed = ranked(docs.withColumn("__key", key_of(source)), rows, tie, seed)
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    ties = [F.col(f"tie{i}") for i in range(len(tie))]
+    placed = ranked(rows_of(docs.select(*map(quoted, kept)), key_of(source).alias("key"), *(quoted(c).alias(f"tie{i}") for i, c in enumerate(tie))), rows, ties, seed)
     n = buckets_for(rows)
-    placed = placed.withColumn("__f", (F.col("__rank") - 0.5) / F.col("__total"))
-    placed = placed.withColumn("__g", F.least(F.floor(F.col("__f") * n), F.lit(n - 1)))
-    upto = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")).select("__g", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__g").orderBy("__f", "__key", "__h", *tie)
-    placed = placed.withColumn("__i", F.row_number().over(inside)).join(offsets, "__g")
-    placed = placed.withColumn("__at", F.col("__before") + F.col("__i") - 1)
-    placed = placed.withColumn("shard", F.expr(f"cast((__at * {n_shards}) div {max(rows, 1)} as int)"))
-    placed = placed.withColumn("slot", F.expr(f"__at - (cast(shard as bigint) * {max(rows, 1)} + {n_shards - 1}) div {n_shards}"))
-    return placed.select(*docs.columns, "shard", "slot")
+    placed = placed.withColumn("share", (F.col("rank") - 0.5) / F.col("total"))
+    placed = placed.withColumn("run", F.least(F.floor(F.col("share") * n), F.lit(n - 1)))
+    upto = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("run").orderBy("share", "key", "hash", *ties)
+    placed = placed.withColumn("place", F.row_number().over(inside)).join(offsets, "run")
+    placed = placed.withColumn("at", F.col("earlier") + F.col("place") - 1)
+    placed = placed.withColumn("shard", F.expr(f"cast((at * {n_shards}) div {max(rows, 1)} as int)"))
+    placed = placed.withColumn("slot", F.expr(f"at - (cast(shard as bigint) * {max(rows, 1)} + {n_shards - 1}) div {n_shards}"))
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in kept), "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str, n_shards: int = 40) -> None:

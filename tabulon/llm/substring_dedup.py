@@ -2,38 +2,73 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, in_batches, restrict
-from .kernels import LOWER, STEP, chunks, mix, text_buffer, windows, winnow, word_hashes, words
+from .common import cut, free_names, in_batches, one_text, quoted, repeats, restrict
+from .kernels import LOWER, STEP, chunks, mix, text_buffer, windows, word_hashes, words
 
-#: Words of a seed, and of windows that keep one each: two texts that share K + WINDOW - 1 words in a row share a seed.
-K = 8
-WINDOW = 14
+#: Words of a seed; of seeds those are kept whose first or last word has their least hash (closed syncmers).
+K = 5
+#: Of so many seeds in a row at least one is kept: K + WINDOW - 1 words that two texts share hold a shared seed.
+WINDOW = K - 1
 #: Words of the shortest passage, and the share of them that must agree.
 LEAST = 50
 SIMILARITY = 0.75
-#: Words that a gap may span in either text before it costs more than the next seed gains.
+#: Words that a gap may span in either text before it costs more than a seed gains; beyond twice that a chain is parted.
 GAP = 48
-#: Score that an extension may lose before it stops (a word that agrees 1, one that doesn't -2).
-DROP = 8
-#: Bytes around a chain that are looked at for its ends.
-PAD = 1200
+#: Matches on one diagonal no further apart are one node of a chain.
+NEAR = 16
+#: Score that an extension may lose before it stops, and that of a word that doesn't agree (one that does: 1).
+DROP = 12
+APART = -1
+#: Words that an extension may leave out in either text to go on.
+SHIFT = 3
+BEYOND = 3
+#: Words looked at first around a chain; where the score hasn't dropped at their end, MORE times as many are.
+MARGIN = 64
+MORE = 4
+#: Words of the blocks that texts are moved in.
+BLOCK = 256
+
+PASSAGE = "doc_id long, start_word long, end_word long, start_byte long, end_byte long, source_doc_id long, source_start_word long, source_end_word long, n_agreeing long, similarity double"
+NAMES = [f.split()[0] for f in PASSAGE.split(", ")]
+KINDS = [*[pa.int64()] * 9, pa.float64()]
+
+
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+# ---------------------------------------------------------------- seeds
 
 
-def numbered(seeds: np.ndarray) -> np.ndarray:
-    """Seeds of one text, a repeated one joined with its number: the n-th occurrences of two texts then match.
+def chosen(hashes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Places of the kept seeds: closed syncmers, a choice that depends on the seed's own words only."""
+    n = len(inside)
+    least = hashes[:n].copy()
+    for j in range(1, K):
+        np.minimum(least, hashes[j : n + j], out=least)
+    return np.flatnonzero(inside & ((least == hashes[:n]) | (least == hashes[K - 1 : n + K - 1])))
+
+
+def numbered(seeds: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Seeds, a repeated one of a text joined with its number: the n-th occurrences of two texts then match.
 
     Without it a run of one word would match a single place of the other text.
     """
-    order = np.argsort(seeds, kind="stable")
-    ordered = seeds[order]
+    if not len(seeds):
+        return seeds
+    own = mix(seeds + mix(text.astype(np.uint64) + np.uint64(0x51)))
+    order = np.argsort(own, kind="stable")
+    ordered = own[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     if new.all():
         return seeds
@@ -44,291 +79,426 @@ def numbered(seeds: np.ndarray) -> np.ndarray:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seeds, numbered; of a repeated one also its later occurrences without their number (again)."""
+    """Seeds, numbered, with their word's place; of a repeated one also its later occurrences without their number (at: -1 - place)."""
     for whole in batches:
         for part in chunks(whole, "text"):
             data, offsets = text_buffer(part.column("text"))
             data = LOWER[data]
             starts, ends, ranges = words(data, offsets)
-            value, _ = windows(word_hashes(data, starts, ends), ranges, K)
-            rows, places, kept, plain = [], [], [], []
-            for i, (a, b) in enumerate(zip(ranges[:-1].tolist(), ranges[1:].tolist(), strict=True)):
-                if b - a >= K:
-                    at = winnow(value[a : b - K + 1], WINDOW) + a
-                    rows.append(np.full(len(at), i))
-                    places.append(at)
-                    kept.append(numbered(value[at]))
-                    plain.append(value[at])
-            if not rows:
-                continue
-            row, at = np.concatenate(rows), np.concatenate(places)
-            ids = part.column("doc_id").cast(pa.int64()).take(pa.array(row))
-            place = (starts[at] - offsets[row]) << 31 | (at - ranges[row])
-            seed, bare = np.concatenate(kept), np.concatenate(plain)
+            hashes = word_hashes(data, starts, ends)
+            value, inside = windows(hashes, ranges, K)
+            place = chosen(hashes, inside)
+            row = np.searchsorted(ranges, place, "right") - 1
+            bare, at = value[place], (place - ranges[row]).astype(np.int32)
+            seed = numbered(bare, row)
             again = np.flatnonzero(seed != bare)
-            order = pa.array(np.concatenate([np.arange(len(seed)), again]))
-            seed, flags = np.concatenate([seed, bare[again]]), np.arange(len(order)) >= len(seed)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), ids.take(order), pa.array(place).take(order), pa.array(flags)], ["seed", "doc_id", "place", "again"])
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where a run of LEAST words that another text has too may begin: all its seeds are shared."""
-    for batch in batches:
-        ids, lows, highs = [], [], []
-        for doc, places in zip(batch.column("doc_id").to_pylist(), batch.column("places"), strict=True):
-            at = np.unique(places.values.to_numpy(zero_copy_only=False))
-            breaks = np.flatnonzero(np.diff(at) > WINDOW)
-            first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
-            # the first seed is among the first WINDOW windows of the run, the last one among the last
-            low, high = np.maximum(first - (WINDOW - 1), 0), last - (LEAST - K - WINDOW + 1)
-            if (low <= high).any():
-                ids.append(doc)
-                lows.append(low[low <= high].tolist())
-                highs.append(high[low <= high].tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))], ["doc_id", "__low", "__high"])
-
-
-def _apart(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Windows that don't overlap the last kept one of the same words; the last of such a run stays too."""
-    if len(np.unique(value)) == len(value):
-        return np.ones(len(value), bool)
-    keep, kept, seen = np.ones(len(value), bool), {}, {}
-    for i, (v, t) in enumerate(zip(value.tolist(), at.tolist(), strict=True)):
-        if v in seen and t - at[seen[v]] >= LEAST:
-            keep[seen[v]] = True
-        seen[v] = i
-        keep[i] = v not in kept or t - kept[v] >= LEAST
-        if keep[i]:
-            kept[v] = t
-    keep[list(seen.values())] = True
-    return keep
+            ids = part.column("doc_id").take(pa.array(np.concatenate([row, row[again]])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([seed, bare[again]]).view(np.int64)), ids, pa.array(np.concatenate([at, -1 - at[again]]))], ["seed", "doc_id", "at"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of LEAST words in the stretches of each text, with the places of their first and last seed."""
-    for whole in batches:
-        for part in chunks(whole, "text"):
-            data, offsets = text_buffer(part.column("text"))
-            data = LOWER[data]
-            starts, ends, ranges = words(data, offsets)
-            value, _ = windows(word_hashes(data, starts, ends), ranges, LEAST)
-            rows, places, kept = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, np.uint64)]
-            for i, (low, high) in enumerate(zip(part.column("__low").to_pylist(), part.column("__high").to_pylist(), strict=True)):
-                a, last = int(ranges[i]), int(ranges[i + 1] - ranges[i]) - LEAST
-                at = np.unique(np.concatenate([np.arange(x, min(y, last) + 1) for x, y in zip(low, high, strict=True)]))
-                at = at[_apart(value[at + a], at)] + a
-                rows.append(np.full(len(at), i))
-                places.append(at)
-                kept.append(value[at])
-            row, at = np.concatenate(rows), np.concatenate(places)
-            ids = part.column("doc_id").cast(pa.int64()).take(pa.array(row))
-            place, end = ((starts[x] - offsets[row]) << 31 | (x - ranges[row]) for x in (at, at + LEAST - K))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), ids, pa.array(place), pa.array(end)], ["seed", "doc_id", "place", "end"])
-
-
-def _shared(seeds: DataFrame) -> DataFrame:
+def _headed(seeds: DataFrame) -> DataFrame:
     """Seeds that several documents have, with the smallest of these as head."""
     heads = seeds.groupBy("seed").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").drop("tail")
     return cut(seeds.join(heads, "seed"))
 
 
-def _run_matches(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """doc_id, head, place, at, run: seeds of runs of LEAST words, matched with the earliest document that has the whole run.
+# ---------------------------------------------------------------- chains
+
+Node = tuple[int, int, int, int, int]
+
+
+def nodes(anchors: np.ndarray) -> list[Node]:
+    """Anchors (place in text, place in source) gathered to runs on one diagonal.
 
-    Of runs that go on alike, each LEAST beginnings give their first and last.
+    A node has the places of its first and last seed in text and source, and the words that its seeds cover.
     """
-    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))
-    places = hits.groupBy("doc_id").agg(F.collect_list(word("place").cast("int")).alias("places"))
-    stretches = cut(in_batches(places, _stretches, "doc_id long, __low array<int>, __high array<int>"))
-    same = cut(in_batches(restrict(docs, "doc_id", stretches, "inner"), _runs, "seed long, doc_id long, place long, end long"))
-    same = _shared(same)
-    first = same.where("doc_id = head").groupBy("seed", "head").agg(F.min("place").alias("at"), F.min("end").alias("at_end"))
-    pairs = same.where("doc_id > head").join(first, ["seed", "head"])
-    pairs = pairs.groupBy("doc_id", "head", word("place") - word("at"), F.floor(word("place") / LEAST)).agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("place", "at", "end", "at_end")))
-    ends = [F.struct(F.col(f"{f}_{a}").alias("place"), F.col(f"{f}_{b}").alias("at")) for f in ("min", "max") for a, b in (("place", "at"), ("end", "at_end"))]
-    return pairs.select("doc_id", "head", F.inline(F.array(*ends))).withColumn("run", F.lit(True))
-
-
-def chains(anchors: list[tuple[int, int]], k: int = K, gap: int = GAP) -> list[list[tuple[int, int]]]:
-    """Disjoint collinear chains of anchors (place in text, place in source), best first.
-
-    An anchor gains k; a step costs k / (2 * gap) for every word it moves in either text. The best
-    predecessor is a prefix maximum over source places, held in a Fenwick tree that is filled in the order
-    of text places.
+    anchors = np.unique(anchors, axis=0)
+    diagonal = anchors[:, 0] - anchors[:, 1]
+    order = np.lexsort((anchors[:, 0], diagonal))
+    at, diagonal = anchors[order], diagonal[order]
+    step = np.diff(at[:, 0])
+    new = np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (step > NEAR)])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    gain = np.where(new, K, np.minimum(np.concatenate([[0], step]), K))
+    return list(zip(*at[first].T.tolist(), *at[last].T.tolist(), np.add.reduceat(gain, first).tolist(), strict=True))
+
+
+def chains(found: list[Node], gap: int = GAP) -> list[list[Node]]:
+    """Disjoint collinear chains of nodes, best first.
+
+    A node gains the words it covers; a step costs K / (2 * gap) for every word it moves in either text, from
+    the last seed of a node to the first of the next. The best predecessor is a prefix maximum over source
+    places, held in a Fenwick tree that is filled in the order of text places.
     """
-    anchors = sorted(set(anchors))
-    sources = sorted({s for _, s in anchors})
-    cost = k / (2 * gap)
-    tree: list[tuple[float, int]] = [(-1e18, -1)] * (len(sources) + 1)
-    score, before = [0.0] * len(anchors), [-1] * len(anchors)
-    waiting: list[int] = []
-    for i, (t, s) in enumerate(anchors):
-        while waiting and anchors[waiting[0]][0] < t:  # only anchors strictly before in the text
-            j = waiting.pop(0)
-            at, entry = bisect_left(sources, anchors[j][1]) + 1, (score[j] + cost * (anchors[j][0] + anchors[j][1]), j)
-            while at <= len(sources):
+    found = sorted(found)
+    places = sorted({n[3] for n in found})
+    cost = K / (2 * gap)
+    tree: list[tuple[float, int]] = [(-1e18, -1)] * (len(places) + 1)
+    score, before = [0.0] * len(found), [-1] * len(found)
+    ending = sorted(range(len(found)), key=lambda i: found[i][2])
+    done = 0
+    for i, (t, s, _, _, gain) in enumerate(found):
+        while done < len(ending) and found[ending[done]][2] < t:  # only nodes that end before in the text
+            j = ending[done]
+            done += 1
+            at, entry = bisect_left(places, found[j][3]) + 1, (score[j] + cost * (found[j][2] + found[j][3]), j)
+            while at <= len(places):
                 if tree[at] < entry:
                     tree[at] = entry
                 at += at & -at
-        at, best = bisect_left(sources, s), (-1e18, -1)
+        at, best = bisect_left(places, s), (-1e18, -1)
         while at:
             best = max(best, tree[at])
             at -= at & -at
-        gain = best[0] - cost * (t + s)
-        score[i], before[i] = (k + gain, best[1]) if gain > 0 else (k, -1)
-        waiting.append(i)
-    out, taken = [], [False] * len(anchors)
-    for i in sorted(range(len(anchors)), key=lambda i: -score[i]):
+        more = best[0] - cost * (t + s)
+        score[i], before[i] = (gain + more, best[1]) if more > 0 else (gain, -1)
+    out, taken = [], [False] * len(found)
+    for i in sorted(range(len(found)), key=lambda i: -score[i]):
         chain = []
         while i >= 0 and not taken[i]:
             taken[i] = True
-            chain.append(anchors[i])
+            chain.append(found[i])
             i = before[i]
         if chain:
             out.append(chain[::-1])
     return out
 
 
-def _held(chain: list[tuple[int, int]], held: dict[int, list[int]]) -> bool:
-    """Has an earlier chain a seed within every run of this one, at the same place of the source?"""
-    for i, (t, s) in enumerate(chain):
-        if i and t - s == chain[i - 1][0] - chain[i - 1][1] and t - chain[i - 1][0] < LEAST:
-            continue
-        last = t
-        for u, v in chain[i + 1 :]:
-            if u - v != t - s or u - last >= LEAST:
-                break
-            last = u
-        at = held.get(t - s, [])
-        j = bisect_left(at, t)
-        if j == len(at) or at[j] > last:
-            return False
-    return True
+def parted(chain: list[Node], gap: int = GAP) -> Iterator[list[Node]]:
+    """The chain, cut where a gap spans more than twice `gap` words in a text."""
+    part = [chain[0]]
+    for node in chain[1:]:
+        if max(node[0] - part[-1][2], node[1] - part[-1][3]) > 2 * gap:
+            yield part
+            part = []
+        part.append(node)
+    yield part
+
+
+CHAIN = "doc_id long, source_id long, chain int, runs array<array<int>>"
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "source_id", "words", "source_words", "low", "high", "source_low", "source_high"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 4]
-    mask = (1 << 31) - 1
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int32()))]
     for batch in batches:
         rows: list[tuple] = []
-        for doc, source, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "head", "hits")), strict=True):
-            seeds, runs = ({(h["place"] & mask, h["at"] & mask): (h["place"] >> 31, h["at"] >> 31) for h in hits if h["run"] == kind} for kind in (False, True))
-            held: dict[int, list[int]] = {}
-            for where in (seeds, runs):
-                for chain in chains(list(where)):
-                    # fewer words than a window at either end of a passage hold no seed
-                    if chain[-1][0] + K - chain[0][0] >= LEAST - 2 * (WINDOW - 1) and not (where is runs and _held(chain, held)):
-                        (a, c), (b, d) = where[chain[0]], where[chain[-1]]
-                        rows.append((doc, source, [t for t, _ in chain], [s for _, s in chain], a, b, c, d))
-                        for t, s in chain:
-                            insort(held.setdefault(t - s, []), t)
-        columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _agreeing(a: list[bytes], b: list[bytes]) -> int:
-    """Words that agree in a best alignment of two short runs (longest common subsequence)."""
-    if a == b:
-        return len(a)
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            here = row[j]
-            row[j] = last + 1 if x == y else max(here, row[j - 1])
-            last = here
-    return row[-1]
-
-
-def _extended(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
-    """How far two runs go on alike, and how many words agree there."""
-    best, score, agree, length, found = 0, 0, 0, 0, 0
-    for i in range(min(len(a), len(b))):
-        same = a[i] == b[i]
-        agree += same
-        score += 1 if same else -2
-        if score > best:
-            best, length, found = score, i + 1, agree
-        if score < best - DROP:
-            break
-    return length, found
-
-
-def _parts(agree: list[int], span: list[int]) -> Iterator[tuple[int, int]]:
-    """First and last seeds of disjoint parts of a chain that are alike enough, the longest first: all of it, if it is.
-
-    A part may start at a seed that is lower in the running sum of agree - SIMILARITY * span than all before it;
-    the longest one that ends at each seed is found by passing these from the right.
+        columns = [batch.column(c) for c in ("at", "source_at")]
+        for doc, source, *at in zip(batch.column("doc_id").to_pylist(), batch.column("head").to_pylist(), *columns, strict=True):
+            anchors = np.stack([x.values.to_numpy(zero_copy_only=False) for x in at], 1)
+            parts = [p for c in chains(nodes(anchors)) for p in parted(c)]
+            for i, part in enumerate(p for p in parts if len(p) > 1 or p[0][4] > K):  # more than a single seed
+                rows.append((doc, source, i, [n[:4] for n in part]))
+        yield _table(rows, ["doc_id", "source_id", "chain", "runs"], kinds)
+
+
+# ---------------------------------------------------------------- alignment
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in blocks of BLOCK whole words."""
+    names, kinds = ["id", "block", "raw", "first_byte", "total"], [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
+    for whole in batches:
+        for part in chunks(whole, "text"):
+            data, offsets = text_buffer(part.column("text"))
+            starts, ends, ranges = words(data, offsets)
+            rows = []
+            for i, (doc, a, b) in enumerate(zip(part.column("doc_id").to_pylist(), ranges[:-1].tolist(), ranges[1:].tolist(), strict=True)):
+                for block, at in enumerate(range(a, b, BLOCK)):
+                    low, high = int(starts[at]), int(ends[min(at + BLOCK, b) - 1])
+                    rows.append((doc, block, data[low:high].tobytes(), low - int(offsets[i]), b - a))
+            yield _table(rows, names, kinds)
+
+
+class Slice:
+    """Words of consecutive blocks of a text: hashes, byte places, number of the first one, and how many the text has."""
+
+    def __init__(self, blocks: list[dict]):
+        blocks = sorted(blocks, key=lambda x: x["block"])
+        self.first, self.total = blocks[0]["block"] * BLOCK, blocks[0]["total"]
+        hashes, starts, ends = [], [], []
+        for x in blocks:
+            data = np.frombuffer(x["raw"], np.uint8)
+            low, high, _ = words(data, np.array([0, len(data)]))
+            hashes.append(word_hashes(LOWER[data], low, high))
+            starts.append(low + x["first_byte"])
+            ends.append(high + x["first_byte"])
+        self.hashes, self.starts, self.ends = np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+        self.last = self.first + len(self.hashes)
+
+    def between(self, low: int, high: int) -> np.ndarray:
+        return self.hashes[low - self.first : high - self.first]
+
+
+def gap_columns(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A best alignment (longest common subsequence) of two short runs: places in either, -1 opposite nothing."""
+    if len(x) == len(y):
+        return np.arange(len(x)), np.arange(len(y))
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, w in enumerate(x, 1):
+        best[i, 1:] = np.maximum.accumulate(np.maximum(best[i - 1, 1:], best[i - 1, :-1] + (y == w)))
+    i, j, out = len(x), len(y), []
+    while i or j:
+        if i and j and (x[i - 1] == y[j - 1] or best[i - 1, j - 1] == best[i, j]):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and best[i - 1, j] == best[i, j]:
+            i -= 1
+            out.append((i, -1))
+        else:
+            j -= 1
+            out.append((-1, j))
+    at = np.array(out[::-1]).reshape(-1, 2)
+    return at[:, 0], at[:, 1]
+
+
+def _diagonal(x: np.ndarray, y: np.ndarray) -> tuple[int, bool, int, int]:
+    """How far two runs are compared before the score drops, whether it did, and place and value of the best score."""
+    n = min(len(x), len(y))
+    score = np.concatenate([[0], np.cumsum(np.where(x[:n] == y[:n], 1, APART))])
+    over = np.flatnonzero(np.maximum.accumulate(score) - score > DROP)
+    n = int(over[0]) if len(over) else n
+    best = int(np.argmax(score[: n + 1]))
+    return n, bool(len(over)), best, int(score[best])
+
+
+def extension(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of two runs opposite each other (-1: none) as far as they agree, and whether the score dropped at last.
+
+    Where it drops, up to SHIFT words of either run are left out if the score grows by BEYOND from there on.
     """
-    total = np.cumsum(np.array(agree) - SIMILARITY * np.array(span)).tolist()
-    waiting = [(0, len(agree))]
+    at, to, pieces = 0, 0, []
+    while True:
+        n, dropped, best, _ = _diagonal(x[at:], y[to:])
+        step = (0, 0, 0)
+        if dropped:
+            tries = [(_diagonal(x[at + best + i :], y[to + best + j :])[3] + APART * (i + j), i, j) for d in range(1, SHIFT + 1) for i, j in ((d, 0), (0, d))]
+            step = max(tries, key=lambda t: t[0])
+        more = step[0] >= BEYOND
+        length = best if more else n
+        pieces.append((np.arange(at, at + length), np.arange(to, to + length)))
+        if not more:
+            return *(np.concatenate(c) for c in zip(*pieces, strict=True)), dropped
+        at, to = at + length, to + length
+        pieces.append((np.concatenate([np.arange(at, at + step[1]), np.full(step[2], -1)]), np.concatenate([np.full(step[1], -1), np.arange(to, to + step[2])])))
+        at, to = at + step[1], to + step[2]
+
+
+def aligned(a: Slice, b: Slice, runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Words of text and source opposite each other (-1: none), and whether an end has to be looked at further."""
+    t, s = runs[0][:2]
+    x, y, dropped = extension(a.between(a.first, t)[::-1], b.between(b.first, s)[::-1])
+    x, y = np.where(x < 0, -1, t - 1 - x)[::-1], np.where(y < 0, -1, s - 1 - y)[::-1]
+    open_ends = not dropped and a.first + b.first > 0 and bool((x != 0).all() and (y != 0).all())
+    pieces = [(x, y)]
+    for t0, s0, t1, s1 in runs:
+        skip = max(0, t - t0, s - s0)  # seeds may overlap those of the run before
+        if t0 + skip >= t1 + K:
+            continue
+        t0, s0 = t0 + skip, s0 + skip
+        x, y = gap_columns(a.between(t, t0), b.between(s, s0))
+        pieces.append((np.where(x < 0, -1, x + t), np.where(y < 0, -1, y + s)))
+        t, s = t1 + K, s1 + K
+        pieces.append((np.arange(t0, t), np.arange(s0, s)))
+    x, y, dropped = extension(a.between(t, a.last), b.between(s, b.last))
+    x, y = np.where(x < 0, -1, x + t), np.where(y < 0, -1, y + s)
+    open_ends |= not dropped and max(x.max(initial=t - 1), t - 1) + 1 < a.total and max(y.max(initial=s - 1), s - 1) + 1 < b.total
+    pieces.append((x, y))
+    x, y = (np.concatenate(c) for c in zip(*pieces, strict=True))
+    return x, y, open_ends
+
+
+def _best(flags: np.ndarray, apart: float) -> tuple[int, int]:
+    """The run with the highest score."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(flags, 1.0, apart))])
+    end = int(np.argmax(total - np.minimum.accumulate(total)))
+    return int(np.argmin(total[: end + 1])), end
+
+
+def _longest(flags: np.ndarray) -> tuple[int, int]:
+    """The longest run of which SIMILARITY agree."""
+    total = np.concatenate([[0.0], np.cumsum(flags - SIMILARITY)])
+    start = np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9, "left")  # the first place no higher
+    end = int(np.argmax(np.arange(len(total)) - start))
+    return int(start[end]), end
+
+
+def segments(same: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Disjoint runs of columns of which SIMILARITY agree: the best-scoring one if it does (ends are sharp then), else the longest."""
+    waiting = [(0, len(same))]
     while waiting:
         low, high = waiting.pop()
-        starts: list[int] = []
-        for i in range(low, high):
-            if not starts or total[i] < total[starts[-1]]:
-                starts.append(i)
-        best = (low, low)
-        for j in range(high - 1, low - 1, -1):
-            while starts and total[j] - total[starts[-1]] + K * (1 - SIMILARITY) >= -1e-9:
-                best = max(best, (starts.pop(), j), key=lambda x: x[1] - x[0])
-        yield best
-        waiting += [(a, b) for a, b in ((low, best[0]), (best[1] + 1, high)) if a < b]
-
-
-def _tokens(raw: bytes, first: int, anchor_byte: int) -> tuple[list[bytes], list[int], list[int], int]:
-    """Words of a slice with their byte places in the text, and the index of the word at anchor_byte."""
-    data = LOWER[np.frombuffer(raw, np.uint8)]
-    starts, ends, _ = words(data, np.array([0, len(data)]))
-    if first and len(starts) and starts[0] == 0:  # the slice may begin inside a word
-        starts, ends = starts[1:], ends[1:]
-    low = data.tobytes()
-    return [low[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], (starts + first).tolist(), (ends + first).tolist(), int(np.searchsorted(starts, anchor_byte - first))
+        flags = same[low:high]
+        for begin, end in (_best(flags, APART), _best(flags, 2 * APART), _longest(flags)):
+            if end - begin >= LEAST and flags[begin:end].sum() >= SIMILARITY * (end - begin) - 1e-9:
+                yield low + begin, low + end
+                waiting += [(low, low + begin), (low + end, high)]
+                break
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns = ["doc_id", "source_id", "words", "source_words", "low", "source_low", "text_from", "source_from", "text_part", "source_part"]
-    names = [f.split()[0] for f in PASSAGE.split(", ")]
-    kinds = [*[pa.int64()] * 9, pa.float64()]
-    for whole in batches:
+    """Passages of each chain; of one whose ends have to be looked at further a row with similarity -1 and its number as start_word."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for i in range(batch.num_rows):
+            doc, source, number, runs, found = (batch.column(c)[i].as_py() for c in ("doc_id", "source_id", "chain", "runs", "blocks"))
+            a, b = (Slice([x for x in found if x["side"] == side]) for side in (0, 1))
+            x, y, open_ends = aligned(a, b, runs)
+            if open_ends:
+                rows.append((doc, number, 0, 0, 0, source, 0, 0, 0, -1.0))
+                continue
+            same = (x >= 0) & (y >= 0)
+            same[same] = a.hashes[x[same] - a.first] == b.hashes[y[same] - b.first]
+            for low, high in segments(same):
+                agreeing = np.flatnonzero(same[low:high]) + low
+                left, right = int(agreeing[0]), int(agreeing[-1])
+                start, stop, source_start, source_stop = int(x[left]), int(x[right]) + 1, int(y[left]), int(y[right]) + 1
+                alike = len(agreeing) / max(stop - start, source_stop - source_start)
+                if stop - start >= LEAST and alike >= SIMILARITY - 1e-9:
+                    rows.append((doc, start, stop, int(a.starts[start - a.first]), int(a.ends[stop - 1 - a.first]), source, source_start, source_stop, len(agreeing), alike))
+        yield _table(rows, NAMES, KINDS)
+
+
+def _align_all(chained: DataFrame, texts: DataFrame) -> DataFrame:
+    """Passages of all chains. Only blocks of the texts around the chains are gathered, for one chain at a time.
+
+    A chain whose ends still agree at the last word looked at comes again with a wider margin, until none does.
+    """
+    ids = cut(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
+    blocks = cut(in_batches(restrict(texts, "doc_id", ids), _blocks, "id long, block int, raw binary, first_byte long, total int"))
+    done, margin = None, MARGIN
+    while True:
+        first, last = F.col("runs")[0], F.element_at("runs", -1)
+
+        def needed(place: int, margin: int = margin, first: Column = first, last: Column = last) -> Column:
+            low = F.floor(F.greatest(first[place] - margin, F.lit(0)) / BLOCK)
+            return F.transform(F.sequence(low, F.floor((last[place + 2] + K - 1 + margin) / BLOCK)), lambda b: F.struct(F.lit(place).alias("side"), F.col(("doc_id", "source_id")[place]).alias("id"), b.cast("int").alias("block")))
+
+        wanted = chained.select("doc_id", "source_id", "chain", "runs", F.posexplode(F.concat(needed(0), needed(1))))
+        wanted = wanted.select("doc_id", "source_id", "chain", F.when(F.col("pos") == 0, F.col("runs")).alias("runs"), "col.side", "col.id", "col.block")
+        got = wanted.join(blocks.hint("merge"), ["id", "block"])
+        got = got.groupBy("doc_id", "source_id", "chain").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.collect_list(F.struct("side", "block", "raw", "first_byte", "total")).alias("blocks"))
+        rows = cut(in_batches(got, _align, PASSAGE))
+        found = rows.where("similarity >= 0")
+        done = found if done is None else done.unionByName(found)
+        still = rows.where("similarity < 0").select("doc_id", F.col("source_doc_id").alias("source_id"), F.col("start_word").cast("int").alias("chain"))
+        if still.isEmpty():
+            return done
+        chained, margin = cut(chained.join(still, ["doc_id", "source_id", "chain"], "left_semi")), margin * MORE
+
+
+# ---------------------------------------------------------------- exact runs
+
+
+def _stretches(places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last word where a run of LEAST words may begin of which all seeds are among `places`."""
+    at = np.unique(places)
+    breaks = np.flatnonzero(np.diff(at) > WINDOW)
+    first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
+    # the first seed is among the first WINDOW windows of the run, the last one among the last
+    low, high = np.maximum(first - (WINDOW - 1), 0), last - (LEAST - K - WINDOW + 1)
+    yield from ((int(x), int(y)) for x, y in zip(low, high, strict=True) if x <= y)
+
+
+RANGES = "doc_id long, low array<int>, high array<int>"
+RANGE_KINDS = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+
+def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the stretches of a text the beginnings of runs that its passages don't hold."""
+    for batch in batches:
+        rows = []
+        for doc, places, spans in zip(batch.column("doc_id").to_pylist(), batch.column("places"), batch.column("spans").to_pylist(), strict=True):
+            out: list[tuple[int, int]] = []
+            for low, high in _stretches(places.values.to_numpy(zero_copy_only=False)):
+                covered = np.zeros(high + LEAST - low, bool)
+                for span in spans or ():
+                    covered[max(span["start_word"] - low, 0) : max(span["end_word"] - low, 0)] = True
+                if not covered.all():
+                    held = np.concatenate([[0], np.cumsum(covered)])
+                    left = np.flatnonzero(held[LEAST:] - held[:-LEAST] < LEAST) + low
+                    ends = np.flatnonzero(np.diff(left) > 1)
+                    out += zip(left[np.concatenate([[0], ends + 1])].tolist(), left[np.concatenate([ends, [len(left) - 1]])].tolist(), strict=True)
+            if out:
+                rows.append((doc, [x for x, _ in out], [y for _, y in out]))
+        yield _table(rows, ["doc_id", "low", "high"], RANGE_KINDS)
+
+
+def _all_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         rows = []
-        for i in range(whole.num_rows):
-            doc, source, at, to, low, source_low, first, source_first, part, source_part = (whole.column(c)[i].as_py() for c in columns)
-            a, begin, end, ia = _tokens(part, first, low)
-            b, _, _, ib = _tokens(source_part, source_first, source_low)
-            shift, source_shift = ia - at[0], ib - to[0]  # word numbers of the texts to those of the slices
-            agree, span = [0], [0]  # of every step from one seed to the next: words that agree, and words of the longer side
-            for (s0, t0), (s, t) in zip(zip(at, to), zip(at[1:], to[1:]), strict=False):
-                x, y = s0 + K, t0 + K
-                if s >= x and t >= y:
-                    agree.append(_agreeing(a[x + shift : s + shift], b[y + source_shift : t + source_shift]) + K)
-                else:  # seeds overlap: only what is new counts
-                    agree.append(max(0, K - max(x - s, y - t)))
-                span.append(max(s - s0, t - t0))
-            done: list[tuple[int, int]] = []
-            for p, q in [(0, len(at) - 1), *_parts(agree, span)]:  # with its ends the whole may do where its seeds alone don't
-                core, x, y = K + sum(agree[p + 1 : q + 1]), at[q] + K, to[q] + K
-                right, more = _extended(a[x + shift :], b[y + source_shift :])
-                left, less = _extended(a[: at[p] + shift][::-1], b[: to[p] + source_shift][::-1])
-                for r, m, e, n in ((right, more, left, less), (0, 0, 0, 0)):  # ends that agree too little don't cost the rest
-                    start, stop, source_start, source_stop = at[p] - e, x + r, to[p] - e, y + r
-                    alike = min(1.0, (core + m + n) / max(stop - start, source_stop - source_start))
-                    if stop - start >= LEAST and alike >= SIMILARITY:
-                        if not any(u <= start and stop <= v for u, v in done):
-                            done.append((start, stop))
-                            rows.append((doc, start, stop, begin[start + shift], end[stop - 1 + shift], source, source_start, source_stop, core + m + n, alike))
-                        break
-                if done and (p, q) == (0, len(at) - 1):
-                    break
-        columns_out = list(zip(*rows, strict=True)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_out, kinds, strict=True)], names)
+        for doc, places in zip(batch.column("doc_id").to_pylist(), batch.column("places"), strict=True):
+            out = list(_stretches(places.values.to_numpy(zero_copy_only=False)))
+            if out:
+                rows.append((doc, [x for x, _ in out], [y for _, y in out]))
+        yield _table(rows, ["doc_id", "low", "high"], RANGE_KINDS)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of LEAST words that begin in the given ranges of each text."""
+    for whole in batches:
+        for part in chunks(whole, "text"):
+            data, offsets = text_buffer(part.column("text"))
+            data = LOWER[data]
+            starts, ends, ranges = words(data, offsets)
+            value, _ = windows(word_hashes(data, starts, ends), ranges, LEAST)
+            rows, places = [np.zeros(0, int)], [np.zeros(0, int)]
+            for i, (low, high) in enumerate(zip(part.column("low").to_pylist(), part.column("high").to_pylist(), strict=True)):
+                last = int(ranges[i + 1] - ranges[i]) - LEAST
+                at = np.unique(np.concatenate([np.arange(x, min(y, last) + 1) for x, y in zip(low, high, strict=True)])) + ranges[i]
+                rows.append(np.full(len(at), i))
+                places.append(at)
+            row, at = np.concatenate(rows), np.concatenate(places)
+            columns = [value[at].view(np.int64), at - ranges[row], starts[at] - offsets[row], ends[at + LEAST - 1] - offsets[row]]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *map(pa.array, columns)], ["doc_id", "seed", "at", "start_byte", "end_byte"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages from runs of LEAST words that begin one after the other."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, source, runs in zip(batch.column("doc_id").to_pylist(), batch.column("head").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            part: list[dict] = []
+            for r in [*sorted(runs, key=lambda r: r["at"]), None]:
+                if part and (r is None or r["at"] != part[-1]["at"] + 1):
+                    start, stop, there = part[0]["at"], part[-1]["at"] + LEAST, [x["source_at"] for x in part]
+                    rows.append((doc, start, stop, part[0]["start_byte"], part[-1]["end_byte"], source, min(there), max(there) + LEAST, stop - start, 1.0))
+                    part = []
+                if r:
+                    part.append(r)
+        yield _table(rows, NAMES, KINDS)
+
+
+def _exact_runs(texts: DataFrame, hits: DataFrame, passages: DataFrame) -> DataFrame | None:
+    """Passages for runs of LEAST words that an earlier document has and that `passages` leave uncovered.
+
+    All seeds of such a run are shared, so its beginnings are looked for only where they are, and only in texts that share seeds with
+    an uncovered one; each run is then matched, by all of its words, with the earliest document that has it.
+    """
+    at = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at")
+    later = hits.where("doc_id > head").select("doc_id", at).groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    spans = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    left = cut(in_batches(later.join(spans, "doc_id", "left"), _uncovered, RANGES))
+    if left.isEmpty():
+        return None
+    ranges = F.transform(F.arrays_zip("low", "high"), lambda r: F.struct(r["low"].alias("low"), (r["high"] + (LEAST - K)).alias("high")))
+    inside = F.exists("ranges", lambda r: F.col("place").between(r["low"], r["high"]))
+    wanted = restrict(hits.select("seed", "doc_id", at.alias("place")), "doc_id", left.select("doc_id", ranges.alias("ranges")), "inner", sizes="ranges").where(inside)
+    wanted = cut(wanted.select("seed").distinct())
+    near = restrict(hits.select("seed", "doc_id", at), "seed", wanted).groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    near = cut(in_batches(near, _all_stretches, RANGES))
+    runs = _headed(in_batches(restrict(texts, "doc_id", near, "inner", sizes="low"), _runs, "doc_id long, seed long, at long, start_byte long, end_byte long"))
+    first = runs.where("doc_id = head").groupBy("seed", "head").agg(F.min("at").alias("source_at"))
+    pairs = runs.where("doc_id > head").join(first, ["seed", "head"])
+    pairs = restrict(pairs.withColumn("place", F.col("at")), "doc_id", left.select("doc_id", F.arrays_zip("low", "high").alias("ranges")), "inner", sizes="ranges").where(inside)
+    return in_batches(pairs.groupBy("doc_id", "head").agg(F.collect_list(F.struct("at", "start_byte", "end_byte", "source_at")).alias("runs")), _joined, PASSAGE)
+
+
+# ---------------------------------------------------------------- the operator
 
 
 def _widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the passages of a document and its source those that no other one holds."""
-    names = [f.split()[0] for f in PASSAGE.split(", ")]
-    kinds = [*[pa.int64()] * 9, pa.float64()]
     for batch in batches:
         out = []
         for rows in batch.column("rows").to_pylist():
@@ -336,11 +506,19 @@ def _widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in sorted(rows, key=lambda r: (r["start_word"], -r["end_word"], -r["similarity"], r["source_start_word"])):
                 if r["end_word"] > far:  # all before start no later
                     far = r["end_word"]
-                    out.append(r)
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in zip(names, kinds, strict=True)], names)
+                    out.append(tuple(r[c] for c in NAMES))
+        yield _table(out, NAMES, KINDS)
 
 
-PASSAGE = "doc_id long, start_word long, end_word long, start_byte long, end_byte long, source_doc_id long, source_start_word long, source_end_word long, n_agreeing long, similarity double"
+def _extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for part in chunks(whole, "text"):
+            starts, ends, ranges = words(*text_buffer(part.column("text")))
+            _, offsets = text_buffer(part.column("text"))
+            n = np.diff(ranges)
+            some = np.flatnonzero(n >= LEAST)
+            columns = [n[some], starts[ranges[some]] - offsets[some], ends[ranges[some + 1] - 1] - offsets[some]]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), *map(pa.array, columns)], ["head", "n", "low", "high"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -348,70 +526,80 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A row per passage and earlier document: doc_id, words [start_word, end_word) and bytes of the
     passage, source_doc_id and its words, n_agreeing words and similarity. Passages have at least
-    LEAST words of which SIMILARITY agree in the alignment.
-
-    Every text is cut into K-word seeds, kept by winnowing; a seed's occurrences join with the
-    smallest doc_id that has it, not with each other, so the matches grow with the input however often a
-    passage repeats. Matches of a document and its source are chained in both orders with gap costs and
-    the chains aligned word by word, gaps and ends included. A chain that is not alike enough as a whole is split into its longest parts that are; only the chains' own bytes are moved for it. Passages that repeat
-    only within one document aren't looked for.
-
-    Null texts, texts of fewer than LEAST words and rows with a null doc_id take no part; exact copies are repeated
-    as a whole; rows that repeat a doc_id count as one document (one of its texts is aligned). An empty table gives no rows.
+    LEAST words, of which SIMILARITY agree in the alignment.
+
+    Equal texts form a class: its smallest doc_id stands for it, and each other member has one passage, its whole
+    text, with that one. The texts that stand for a class are cut into K-word seeds, kept as syncmers; a seed's
+    occurrences join with the smallest doc_id that has it, not with each other, so the matches grow with the
+    input however often a passage repeats. Matches of a document and its source are chained in both orders with gap
+    costs, and the chains aligned word by word, gaps and ends included, and cut to the parts that are alike. Then
+    every run of LEAST words whose seeds are all shared and that no passage covers is matched by all its words with
+    the earliest document that has it: so every word of a run of LEAST words that any earlier document has is in a passage.
+    A passage that is only nearly the same is found with the earliest holder of at least two of its seeds. Passages that
+    repeat only within one document aren't looked for.
+
+    Null texts, texts of fewer than LEAST words and rows with a null doc_id take no part; rows that repeat a
+    doc_id count as one document, of several texts with the one of least hash. Words and texts may be of any length.
+    Other columns are ignored. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    seeds = in_batches(docs, _seeds, "seed long, doc_id long, place long, again boolean")
-    hits = _shared(seeds)
-    once = hits.where("not again")
-    first = once.where("doc_id = head").groupBy("seed", "head").agg(F.min("place").alias("at"))
-    matches = once.where("doc_id > head").join(first, ["seed", "head"]).select("doc_id", "head", "place", "at", F.lit(False).alias("run"))
-    matches = matches.unionByName(_run_matches(docs, hits))
-    found = matches.groupBy("doc_id", "head").agg(F.collect_list(F.struct("place", "at", "run")).alias("hits"))
-    chained = cut(in_batches(found, _chain, "doc_id long, source_id long, words array<int>, source_words array<int>, low long, high long, source_low long, source_high long"))
-    ids = cut(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
-    texts = restrict(docs, "doc_id", ids).select("doc_id", F.encode("text", "utf-8").alias("raw"))
-    texts = texts if not _repeats(docs, ids) else texts.groupBy("doc_id").agg(F.max("raw").alias("raw"))
-    part = lambda raw, low, high: F.expr(f"substring({raw}, cast(greatest({low} - {PAD}, 0) as int) + 1, cast({high} - greatest({low} - {PAD}, 0) + {PAD} as int))")
-    sources = texts.select(F.col("doc_id").alias("source_id"), F.col("raw").alias("source_raw"))
-    pairs = chained.join(sources.hint("merge"), "source_id").withColumn("source_part", part("source_raw", "source_low", "source_high")).drop("source_raw")
-    pairs = pairs.join(texts.hint("merge"), "doc_id").withColumn("text_part", part("raw", "low", "high")).drop("raw")
-    pairs = pairs.withColumn("text_from", F.greatest(F.col("low") - PAD, F.lit(0))).withColumn("source_from", F.greatest(F.col("source_low") - PAD, F.lit(0)))
-    rows = in_batches(pairs, _align, PASSAGE)
-    rows = rows.groupBy("doc_id", "source_doc_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
-    return in_batches(rows.select("rows"), _widest, PASSAGE)
-
-
-def _repeats(docs: DataFrame, ids: DataFrame) -> bool:
-    """Do more rows than documents stand behind ids?"""
-    return restrict(docs.select("doc_id"), "doc_id", ids).count() > ids.count()
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text"), batch.column("__spans").to_pylist(), strict=True):
-            if not spans:
-                texts.append(text.as_py())
-                continue
-            raw, kept, at = text.as_py().encode(), [], 0
-            for span in sorted(spans, key=lambda s: (s["start_byte"], s["end_byte"])):
-                kept.append(raw[at : max(at, span["start_byte"])])
-                at = max(at, span["end_byte"])
-            texts.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
-        names = [c for c in batch.schema.names if c != "__spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+    texts = one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null"))
+    keyed = cut(texts.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("same")))
+    classes = keyed.groupBy("same").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").drop("tail")
+    copies = cut(keyed.join(classes, "same").where("doc_id > head").select("doc_id", "head"))
+    extents = in_batches(restrict(texts, "doc_id", cut(copies.select(F.col("head").alias("doc_id")).distinct())), _extent, "head long, n long, low long, high long")
+    whole = copies.join(extents, "head").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("low").alias("start_byte"), F.col("high").alias("end_byte"), F.col("head").alias("source_doc_id"), F.lit(0).cast("long").alias("source_start_word"), F.col("n").alias("source_end_word"), F.col("n").alias("n_agreeing"), F.lit(1.0).alias("similarity"))
+    texts = restrict(texts, "doc_id", copies.select("doc_id"), "left_anti")
+
+    hits = _headed(in_batches(texts, _seeds, "seed long, doc_id long, at int"))
+    first = hits.where("doc_id = head and at >= 0").groupBy("seed", "head").agg(F.min("at").alias("source_at"))
+    matches = hits.where("doc_id > head").withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).join(first, ["seed", "head"])
+    groups = matches.groupBy("doc_id", "head").agg(F.collect_list("at").alias("at"), F.collect_list("source_at").alias("source_at"))
+    chained = cut(in_batches(groups.where(F.size("at") > 1), _chain, CHAIN))
+    passages = _align_all(chained, texts)
+    more = _exact_runs(texts, hits, passages)
+    rows = passages if more is None else passages.unionByName(more)
+    rows = rows.groupBy("doc_id", "source_doc_id").agg(F.collect_list(F.struct(*NAMES)).alias("rows"))
+    return in_batches(rows.select("rows"), _widest, PASSAGE).unionByName(whole)
+
+
+def _remove(spans_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts without their spans; the column of these becomes whether there were any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = [], []
+            for text, spans in zip(batch.column("text"), batch.column(spans_column).to_pylist(), strict=True):
+                changed.append(bool(spans))
+                if not spans:
+                    texts.append(text.as_py())
+                    continue
+                raw, kept, at = text.as_py().encode(), [], 0
+                for span in sorted(spans, key=lambda s: (s["start_byte"], s["end_byte"])):
+                    kept.append(raw[at : max(at, span["start_byte"])])
+                    at = max(at, span["end_byte"])
+                texts.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
+            new = {"text": pa.array(texts, pa.string()), spans_column: pa.array(changed)}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], batch.schema.names)
+
+    return run
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with every passage that an earlier document has taken out of the later ones' texts.
 
-    All rows stay, also those left without text; n_chars, if there, is counted anew for texts that changed. Rows whose doc_id repeats keep their texts.
+    All rows stay, also those left without text; n_chars, if there, is counted anew for texts that changed. Of rows
+    that repeat a doc_id with other texts only those change whose text was looked at. Columns keep their names, whatever these are.
     """
-    spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start_byte", "end_byte")).alias("__spans"))
-    spans = cut(spans)
-    schema = docs.schema
-    joined = restrict(docs, "doc_id", spans, "left")
-    out = in_batches(joined, _remove, schema)
+    spans_column, digest = free_names(docs, "spans", "digest")
+    spans = cut(repeated_passages(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start_byte", "end_byte")).alias(spans_column)))
+    joined = restrict(docs, "doc_id", spans, "left", sizes=spans_column)
+    if repeats(docs):
+        known = one_text(docs.select("doc_id", "text").where("doc_id is not null and text is not null"))
+        joined = joined.join(known.select("doc_id", F.md5(F.encode("text", "utf-8")).alias(digest)), "doc_id", "left")
+        joined = joined.withColumn(spans_column, F.when(F.md5(F.encode("text", "utf-8")) == F.col(digest), F.col(spans_column)))
+    rows = joined.select(*map(quoted, docs.columns), spans_column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans_column, T.BooleanType())])
+    out = in_batches(rows, _remove(spans_column), schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(spans_column), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*map(quoted, docs.columns))
