@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,17 +24,44 @@ WINDOW = 8
 DIMENSIONS = 5
 #: Share of a group that the minimum covariance determinant is fitted on.
 CORE = 0.75
-#: Concentration steps.
-STEPS = 3
+#: Starts of the search: one from medians and quartiles, the others from about DRAWN rows each, drawn by hash.
+STARTS = 5
+DRAWN = 24
+#: Concentration steps after which only the two best starts of a group go on, and at most; steps end when no determinant falls by that share.
+FIRST_STEPS = 2
+MOST_STEPS = 25
+FALL = 0.01
 #: A group of fewer documents is judged with its language's estimate, a smaller language with that of all.
 LEAST_ROWS = 60
-#: Squared distance beyond which a document is rejected, in multiples of the 0.999 quantile of chi-squared.
-CHI_999 = 20.515
-REJECT = 3.0 * CHI_999
-#: Least spread of each dimension: a statistic that hardly varies in a group must not reject small deviations.
-LEAST_SPREAD = (0.5, 0.08, 0.35, 0.6, 0.5)
-#: Bins of the logarithm of squared distances, for exact quantile bins.
-BINS_PER_UNIT = 8
+#: Quantiles of chi-squared: of squared distances that count in the last, reweighted estimate, and beyond which a document is rejected.
+REWEIGHTED = 0.975
+REJECTED = 0.9999
+#: What the spread along a dimension counts for at least, where a group's core has less: a statistic that is constant there has none.
+LEAST_SPREAD = (0.2, 0.06, 0.35, 0.6, 0.6)
+#: Bins of the logarithm of squared distances; the bin in which the core ends counts in part.
+BINS_PER_UNIT = 16
+
+
+def chi_squared(x: float, degrees: int = DIMENSIONS) -> float:
+    """Distribution function for an odd number of degrees of freedom."""
+    value, term = math.erf(math.sqrt(x / 2)), math.sqrt(x / 2) * math.exp(-x / 2) / math.gamma(1.5)
+    for k in range(1, degrees, 2):
+        value -= term
+        term *= (x / 2) / (k / 2 + 1)
+    return value
+
+
+def chi_squared_quantile(share: float, degrees: int = DIMENSIONS) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_squared(mid, degrees) < share else (low, mid)
+    return high
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the `share` of a normal distribution nearest to its centre has to be multiplied with."""
+    return share / chi_squared(chi_squared_quantile(share), DIMENSIONS + 2)
 
 
 def _totals(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -105,110 +133,149 @@ def vector() -> list[Column]:
     return [F.log1p(n), F.log1p(F.col("word_chars") / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
 
 
-LEVELS = ["__l0", "__l1", "__l2"]
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    """Count, means and covariances of x0.. by __group."""
-    d = range(DIMENSIONS)
-    sums = [F.count(F.lit(1)).alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in d)]
-    sums += [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in d for j in d if i <= j]
-    return rows.groupBy("__group").agg(*sums)
-
-
-def _invert(correct: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Covariances to inverse matrices, with a least spread on the diagonal."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = range(DIMENSIONS)
-        for frame in frames:
-            matrix = np.zeros((len(frame), DIMENSIONS, DIMENSIONS))
-            for i in d:
-                for j in d:
-                    matrix[:, i, j] = frame[f"c{min(i, j)}{max(i, j)}"].fillna(0.0)
-            if correct:
-                matrix *= CONSISTENCY
-            matrix += np.diag(np.square(LEAST_SPREAD))
-            inverse = np.linalg.inv(matrix)
-            out = frame[["__group", "n", *(f"m{i}" for i in d)]].copy()
-            for i in d:
-                for j in d:
-                    if i <= j:
-                        out[f"p{i}{j}"] = inverse[:, i, j]
-            yield out
+NAMES = [f"x{i}" for i in range(DIMENSIONS)]
+PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
+LEVELS = ["level2", "level1", "level0"]
+ESTIMATE = "group string, start int, det double" + "".join(f", m{i} double" for i in range(DIMENSIONS)) + "".join(f", p{i}{j} double" for i, j in PAIRS)
+
+
+def floored(matrix: np.ndarray) -> np.ndarray:
+    """Covariances with at least LEAST_SPREAD in every direction, so that none is degenerate."""
+    scale = np.outer(LEAST_SPREAD, LEAST_SPREAD)
+    values, vectors = np.linalg.eigh(matrix / scale)
+    return (vectors * np.maximum(values, 1.0)) @ vectors.T * scale
+
+
+def _estimate(group: str, start: int, mean: np.ndarray, matrix: np.ndarray, factor: float) -> list:
+    matrix = floored(matrix * factor)
+    inverse = np.linalg.inv(matrix)
+    return [group, start, float(np.linalg.det(matrix)), *mean.tolist(), *(float(inverse[i, j]) for i, j in PAIRS)]
+
+
+def _refit(keep: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """An estimate from the moments of a group by bins of distance: of its nearest CORE share, or of those within REWEIGHTED."""
+    limit = chi_squared_quantile(REWEIGHTED)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("bin")
+        count = frame["k"].to_numpy(float)
+        if keep == "core":
+            wanted = math.ceil(CORE * count.sum())
+            weight = np.clip((wanted - (np.cumsum(count) - count)) / count, 0, 1)
+            factor = consistency(CORE)
+        else:
+            weight = (np.exp((frame["bin"].to_numpy(float) + 0.5) / BINS_PER_UNIT) <= limit).astype(float)
+            factor = consistency(REWEIGHTED)
+        n = max((weight * count).sum(), 1e-9)
+        shift = np.array([(weight * frame[f"s{i}"]).sum() / n for i in range(DIMENSIONS)])
+        matrix = np.zeros((DIMENSIONS, DIMENSIONS))
+        for i, j in PAIRS:
+            matrix[i, j] = matrix[j, i] = (weight * frame[f"s{i}{j}"]).sum() / n - shift[i] * shift[j]
+        mean = np.array([frame[f"m{i}"].iloc[0] for i in range(DIMENSIONS)]) + shift
+        row = _estimate(frame["group"].iloc[0], int(frame["start"].iloc[0]), mean, matrix, factor)
+        return pd.DataFrame([row], columns=[c.split()[0] for c in ESTIMATE.split(", ")])
 
     return run
 
 
-#: The core's covariance underestimates a normal distribution's by this factor (CORE = 0.75, 5 dimensions).
-CONSISTENCY = 1.6
-
-
-def _estimate(moments: DataFrame, correct: bool) -> DataFrame:
-    d = range(DIMENSIONS)
-    schema = "__group string, n long" + "".join(f", m{i} double" for i in d) + "".join(f", p{i}{j} double" for i in d for j in d if i <= j)
-    return moments.mapInPandas(_invert(correct), schema)
+def _first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Starts from medians and quartiles, or from the moments of drawn rows."""
+    for frame in frames:
+        rows = []
+        for r in frame.to_dict("records"):
+            matrix = np.zeros((DIMENSIONS, DIMENSIONS))
+            for i, j in PAIRS:
+                matrix[i, j] = matrix[j, i] = r[f"c{i}{j}"] or 0.0
+            rows.append(_estimate(r["group"], r["start"], np.array([r[f"m{i}"] for i in range(DIMENSIONS)]), matrix, 1.0))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ESTIMATE.split(", ")])
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance of x0.. under the joined estimate."""
     total = F.lit(0.0)
-    for i in range(DIMENSIONS):
-        for j in range(i, DIMENSIONS):
-            total = total + F.col(f"p{i}{j}") * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}")) * (1 if i == j else 2)
+    for i, j in PAIRS:
+        total = total + F.col(f"p{i}{j}") * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}")) * (1 if i == j else 2)
     return F.greatest(total, F.lit(0.0))
 
 
-def _with(rows: DataFrame, estimate: DataFrame, on: str = "__group") -> DataFrame:
+def _with(rows: DataFrame, estimate: DataFrame, on: str = "group") -> DataFrame:
     """Join by group: broadcast when a count shows few groups, else a join that splits large groups."""
     small = estimate.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20
     return rows.join(F.broadcast(estimate) if small else estimate.hint("merge"), on)
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, estimate: DataFrame, keep: str) -> DataFrame:
+    """One concentration step for every group and start: a single aggregation that combines before its shuffle.
+
+    What is gathered for a group are the moments of its bins, whose number doesn't grow with its rows.
+    """
+    placed = _with(rows, estimate.drop("det")).withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS_PER_UNIT).cast("int"))
+    near = lambda i: F.col(f"x{i}") - F.col(f"m{i}")
+    sums = [F.count(F.lit(1)).alias("k"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(DIMENSIONS)), *(F.sum(near(i)).alias(f"s{i}") for i in range(DIMENSIONS)), *(F.sum(near(i) * near(j)).alias(f"s{i}{j}") for i, j in PAIRS)]
+    bins = placed.groupBy("group", "start", "bin").agg(*sums)
+    return cut(bins.groupBy("group", "start").applyInPandas(_refit(keep), ESTIMATE))
+
+
+def robust_estimates(rows: DataFrame) -> DataFrame:
+    """Minimum covariance determinant of each group of rows (group, drawn, x0..): a row per group with means and inverse covariances.
+
+    From STARTS starts concentration steps go on until no determinant falls any more (MOST_STEPS at most, far more than they need): the
+    CORE share of smallest distances under the estimate gives the next one. After FIRST_STEPS only the two best starts of a group
+    go on, and the one of least determinant is kept. One reweighted estimate, of all rows within the REWEIGHTED
+    quantile, follows. `drawn` is the start that a row was drawn for (null: none).
+    """
+    d = range(DIMENSIONS)
+    middle = [F.percentile_approx(n, 0.5, 1_000).alias(f"m{i}") for i, n in enumerate(NAMES)]
+    spread = [F.percentile_approx(n, [0.25, 0.75], 1_000).alias(f"q{i}") for i, n in enumerate(NAMES)]
+    quartiles = [(F.pow((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    still = rows.groupBy("group").agg(*middle, *spread).select("group", F.lit(0).alias("start"), *(f"m{i}" for i in d), *quartiles)
+    moments = [F.avg(f"x{i}").alias(f"m{i}") for i in d] + [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS]
+    drawn = rows.where("drawn is not null").groupBy("group", F.col("drawn").alias("start")).agg(*moments)
+    estimate = cut(still.unionByName(drawn).mapInPandas(_first, ESTIMATE))
+    for step in range(MOST_STEPS):
+        last, estimate = estimate, _step(rows, estimate, "core")
+        if step + 1 == FIRST_STEPS:
+            best = Window.partitionBy("group").orderBy("det", "start")
+            estimate = cut(estimate.withColumn("place", F.row_number().over(best)).where("place <= 2").drop("place"))
+        elif step:
+            before = last.select("group", "start", F.col("det").alias("before"))
+            if estimate.join(before, ["group", "start"]).where(F.col("det") < (1 - FALL) * F.col("before")).isEmpty():
+                break
+    least = Window.partitionBy("group").orderBy("det", "start")
+    estimate = cut(estimate.withColumn("place", F.row_number().over(least)).where("place = 1").drop("place"))
+    return _step(rows, estimate, "near")
+
+
+def quality_rules(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Base rules and robust outliers by language and source: doc_id, the statistics, base_failed, kept, distance.
 
-    The minimum covariance determinant of each (lang, source) is found by concentration steps over
-    all documents that pass the base rules: start from medians of the group, take the CORE share of smallest
-    distances (an exact count in bins of the distance's logarithm), re-estimate, repeat. Every step is one
-    aggregation by group that combines before the shuffle, so a group of any size is never gathered. Groups of under
-    LEAST_ROWS documents use their language's estimate, such languages that of all; with under LEAST_ROWS
-    documents in all nothing is rejected by distance. A document is kept if it passes the base rules and its
-    squared distance is within REJECT.
+    The minimum covariance determinant of each (lang, source) is fitted on all its documents that pass the base rules
+    (robust_estimates); no group is gathered, whatever its size. Groups of under `least_rows` documents use their
+    language's estimate, such languages that of all; with under `least_rows` documents in all nothing is rejected by
+    distance. A document is kept if it passes the base rules and its squared distance is within the REJECTED quantile of chi-squared.
 
     Null texts count as empty (they fail the base rules); null lang or source is a value of its own; repeated
-    rows each count; very long texts are read whole; an empty table gives no rows.
+    rows each count; very long texts are read whole; other columns are ignored; an empty table gives no rows.
     """
     rows = statistics(docs).withColumn("base_failed", base_failed())
-    names = [f"x{i}" for i in range(DIMENSIONS)]
-    rows = cut(rows.select("*", *(x.alias(n) for x, n in zip(vector(), names, strict=True))))
-    keyed = rows.select(*names, "base_failed", F.concat_ws("\u0001", F.lit("2"), key_of("lang"), key_of("source")).alias("__l2"), F.concat_ws("\u0001", F.lit("1"), key_of("lang")).alias("__l1"), F.lit("0").alias("__l0"))
-    usable = keyed.where(~F.col("base_failed")).select(*names, F.explode(F.array(*LEVELS)).alias("__group"))
-    middle = [F.percentile_approx(n, 0.5, 10_000).alias(f"m{i}") for i, n in enumerate(names)]
-    spread = [F.percentile_approx(n, [0.25, 0.75], 10_000).alias(f"q{i}") for i, n in enumerate(names)]
-    start = usable.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), *middle, *spread)
-    d = range(DIMENSIONS)
-    covariances = [(F.pow((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in d for j in d if i <= j]
-    estimate = cut(_estimate(start.select("__group", "n", *(f"m{i}" for i in d), *covariances), correct=False))
-    for _ in range(STEPS):
-        placed = _with(usable, estimate.drop("n")).withColumn("__bin", F.floor(F.log(_distance() + 1e-6) * BINS_PER_UNIT))
-        bins = placed.groupBy("__group", "__bin").agg(F.count(F.lit(1)).alias("k"))
-        w = Window.partitionBy("__group")
-        bins = bins.withColumn("__upto", F.sum("k").over(w.orderBy("__bin"))).withColumn("__all", F.sum("k").over(w))
-        limits = bins.where(F.col("__upto") >= F.ceil(F.col("__all") * CORE)).groupBy("__group").agg(F.min("__bin").alias("__last"), F.first("__all").alias("n_all"))
-        core = _with(placed.select("__group", "__bin", *names), cut(limits).select("__group", "__last")).where("__bin <= __last")
-        estimate = cut(_estimate(_moments(core), correct=True))
-    sizes = usable.groupBy("__group").agg(F.count(F.lit(1)).alias("__rows"))
-    sized = cut(estimate.drop("n").join(sizes, "__group").where(F.col("__rows") >= LEAST_ROWS))
-    groups = rows.select("*", F.concat_ws("\u0001", F.lit("2"), key_of("lang"), key_of("source")).alias("__l2"), F.concat_ws("\u0001", F.lit("1"), key_of("lang")).alias("__l1"), F.lit("0").alias("__l0"))
-    # the finest level that is large enough, by group of documents
-    own = groups.select(*LEVELS).distinct()
-    known = sized.select(F.col("__group"))
-    choice = own
-    for level in LEVELS:
-        choice = choice.join(known.select(F.col("__group").alias(level), F.lit(True).alias(f"{level}k")), level, "left")
-    choice = choice.select("__l2", F.when(F.col("__l2k"), F.col("__l2")).when(F.col("__l1k"), F.col("__l1")).when(F.col("__l0k"), F.col("__l0")).alias("__group"))
-    final = cut(choice.join(sized, "__group", "left").drop("__group").withColumnRenamed("__l2", "__group"))
-    judged = _with(groups.withColumnRenamed("__l2", "__group"), final).withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= REJECT)
+    names = [x.alias(n) for x, n in zip(vector(), NAMES, strict=True)]
+    levels = [F.concat_ws("\u0001", F.lit("2"), key_of("lang"), key_of("source")).alias("level2"), F.concat_ws("\u0001", F.lit("1"), key_of("lang")).alias("level1"), F.lit("0").alias("level0")]
+    rows = cut(rows.select("doc_id", *STATISTICS, "base_failed", *names, *levels, F.xxhash64(F.lit(11), "doc_id", *STATISTICS).alias("hash")))
+    sizes = rows.where(~F.col("base_failed")).groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n2"))
+    groups = rows.select(*LEVELS).distinct().join(sizes, LEVELS, "left").fillna(0, "n2")
+    groups = groups.withColumn("n1", F.sum("n2").over(Window.partitionBy("level1")))
+    groups = cut(groups.join(F.broadcast(sizes.agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("n0"), F.lit("0").alias("level0"))), "level0"))  # one row
+    enough = [F.col(f"n{i}") >= least_rows for i in (2, 1, 0)]
+    own = F.when(enough[0], F.col("level2")).when(enough[1], F.col("level1")).when(enough[2], F.col("level0"))
+    # every group feeds its own estimate, and those of the levels above that some group needs
+    needed = groups.select(own.alias("group")).where("group is not null").distinct()
+    feeds = groups.select("level2", F.explode(F.array(F.struct(F.col("level2").alias("group"), F.col("n2").alias("n")), F.struct(F.col("level1").alias("group"), F.col("n1").alias("n")), F.struct(F.col("level0").alias("group"), F.col("n0").alias("n")))).alias("f"))
+    feeds = cut(feeds.select("level2", "f.group", "f.n").join(needed, "group", "left_semi"))
+    usable = _with(rows.where(~F.col("base_failed")).select("level2", "hash", *NAMES), feeds, "level2")
+    turn = F.pmod(F.xxhash64("hash", "group"), F.greatest(F.floor(F.col("n") / DRAWN), F.lit(STARTS - 1)))
+    usable = cut(usable.select("group", *NAMES, F.when(turn < STARTS - 1, (turn + 1).cast("int")).alias("drawn")))
+    estimate = robust_estimates(usable)
+    final = cut(groups.select("level2", own.alias("group")).join(estimate.drop("start", "det"), "group", "left").drop("group"))
+    judged = _with(rows, final, "level2").withColumn("distance", _distance())
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_squared_quantile(REJECTED))
     return judged.select("doc_id", *STATISTICS, "base_failed", kept.alias("kept"), "distance")
