@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,11 @@ _encoders: dict[str, Callable[[str], np.ndarray]] = {}
 
 
 def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text under the byte-level BPE of a tokenizers JSON file; special strings are ordinary text.
+    """Ids of a text under the byte-level BPE of a tokenizers JSON file, as tokenizers gives them without special tokens added.
 
     The file's own vocabulary and pattern run on tiktoken's core, which gives the ids that tokenizers
-    gives (tests hold them together) at six times the speed.
+    gives (tests hold them together) at six times the speed. The file's added tokens are found in the text first, as
+    tokenizers does, and stand for themselves.
     """
     if vocabulary not in _encoders:
         import public_tokenizers
@@ -44,10 +48,22 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
             model = json.load(f)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {x["content"] for x in model.get("added_tokens", ())}
-        ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        added = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
+        if any(x.get(flag) for x in model.get("added_tokens", ()) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in what stands around them aren't handled")
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
         core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[vocabulary] = lambda text: np.array(core.encode_ordinary(text), np.uint32)
+        split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+        def encode(text: str) -> np.ndarray:
+            if split is None or not any(token in text for token in added):
+                return np.array(core.encode_ordinary(text), np.uint32)
+            ids: list[int] = []
+            for part in split.split(text):
+                ids += [added[part]] if part in added else core.encode_ordinary(part)
+            return np.array(ids, np.uint32)
+
+        _encoders[vocabulary] = encode
     return _encoders[vocabulary]
 
 
@@ -124,21 +140,21 @@ def dominated(small: tuple[int, ...], by: tuple[int, ...]) -> bool:
     return small != by and sum(small) <= sum(by) and deal(0)
 
 
-def fillings(counts: np.ndarray, room: int, waste: int, most: int = 6, calls: int = 400) -> list[tuple[int, ...]]:
+def fillings(counts: np.ndarray, room: int, waste: int, most: float = 6, calls: float = 400) -> tuple[list[tuple[int, ...]], bool]:
     """Undominated multisets of available sizes that fill `room` with at most `waste` left, least waste first.
 
     The first leaf of the search takes the largest size that fits each time: the best-fit filling.
     One exact size dominates every other filling. `most` and `calls` bound what a node enumerates;
-    the best-fit filling is always among it.
+    the best-fit filling is always among it. The second value tells whether the bounds cut nothing off.
     """
     if room == 0:
-        return [()]
+        return [()], True
     if room < len(counts) and counts[room]:
-        return [(room,)]
+        return [(room,)], True
     have = np.flatnonzero(counts[: room + 1])
     have = have[have > 0]
     if not len(have):
-        return [()] if room <= waste else []
+        return ([()] if room <= waste else []), True
     found: dict[tuple[int, ...], int] = {}
     # exact pairs at once: sizes a >= b with a + b = room
     pair = have[(counts[room - have] > 0) & (2 * have >= room)]
@@ -152,7 +168,7 @@ def fillings(counts: np.ndarray, room: int, waste: int, most: int = 6, calls: in
     below = np.maximum.accumulate(below)
     left = counts
     used: dict[int, int] = {}
-    spent = 0
+    spent, whole = 0, len(found) < most
 
     def fits(space: int, at_most: int) -> int:
         s = int(below[min(space, at_most)])
@@ -161,7 +177,7 @@ def fillings(counts: np.ndarray, room: int, waste: int, most: int = 6, calls: in
         return s
 
     def search(space: int, at_most: int, chosen: tuple[int, ...]) -> None:
-        nonlocal spent
+        nonlocal spent, whole
         spent += 1
         s = fits(space, at_most)
         if not s:
@@ -173,6 +189,7 @@ def fillings(counts: np.ndarray, room: int, waste: int, most: int = 6, calls: in
             search(space - s, s, (*chosen, s))
             used[s] -= 1
             if len(found) >= most or spent > calls:
+                whole = False
                 return
             s = fits(space, s - 1)
 
@@ -182,7 +199,7 @@ def fillings(counts: np.ndarray, room: int, waste: int, most: int = 6, calls: in
     for f in sorted(found, key=lambda f: (found[f], [-x for x in f])):
         if not any(dominated(f, k) for k in kept):
             kept.append(f)
-    return kept
+    return kept, whole
 
 
 def greedy(counts: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
@@ -206,47 +223,60 @@ def greedy(counts: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
-def bin_completion(counts: np.ndarray, room: int, nodes: int = 6_000) -> list[tuple[tuple[int, ...], int]]:
-    """Pack counts[s] items of each size s into bins of `room`: patterns (sizes, largest first) and their multiplicities.
+@dataclass(frozen=True)
+class Packing:
+    """patterns: sizes of a bin, largest first, and how often; bins; bound: bins at least needed; proven: no packing has fewer."""
+
+    patterns: list[tuple[tuple[int, ...], int]]
+    bins: int
+    bound: int
+    proven: bool
+
+
+def bin_completion(counts: np.ndarray, room: int, nodes: float = 6_000, most: float = 6, calls: float = 400) -> Packing:
+    """Pack counts[s] items of each size s into bins of `room`.
 
     Branch and bound: around the largest item left, the undominated fillings are tried in order of
-    waste; equal bins are taken as often as the counts allow in one step. A branch ends when
+    waste; equal bins are taken as often as the counts allow in one step (with unbounded `nodes` one by one). A branch ends when
     its waste would need as many bins as the incumbent. The best-fit packing is the first incumbent;
-    the search ends at the lower bound or after `nodes` steps and then returns the incumbent. Work and memory
-    depend on `room` and `nodes`, not on how many items there are.
+    the search ends at the lower bound, when everything is tried, or after `nodes` steps, and returns the incumbent with the
+    bound and whether it is proven to be the least. Work and memory depend on `room` and `nodes`, not on how
+    many items there are. exact_packing() lifts all bounds of the search.
     """
     counts = counts.astype(np.int64).copy()
     counts[0] = 0
     if not counts.any():
-        return []
-    best, bins = greedy(counts, room), 0
+        return Packing([], 0, 0, True)
+    best = greedy(counts, room)
     bins = sum(m for _, m in best)
     least, total = lower_bound(counts, room), int((counts * np.arange(len(counts))).sum())
     path: list[tuple[tuple[int, ...], int]] = []
-    waste = 0
+    waste, whole, exact = 0, True, math.isinf(nodes)
 
     def choices() -> Iterator[tuple[int, ...]]:
+        nonlocal whole
         top = int(np.flatnonzero(counts)[-1])
         counts[top] -= 1
         allowed = (bins - 1) * room - total - waste
-        found = fillings(counts, room - top, allowed) if allowed >= 0 else []
+        found, complete = fillings(counts, room - top, allowed, most, calls) if allowed >= 0 else ([], True)
+        whole &= complete
         counts[top] += 1
         return iter([(top, *f) for f in found])
 
     stack = [choices()] if bins > least else []
-    while stack and nodes and bins > least:
+    while stack and nodes > 0 and bins > least:
         nodes -= 1
         pattern = next(stack[-1], None)
         if pattern is None:
             stack.pop()
             if path:
                 undone, times = path.pop()
-                for s in undone:
-                    counts[s] += times
+                sizes, often = np.unique(undone, return_counts=True)
+                counts[sizes] += often * times
                 waste -= (room - sum(undone)) * times
             continue
         sizes, often = np.unique(pattern, return_counts=True)
-        times = int((counts[sizes] // often).min())
+        times = 1 if exact else int((counts[sizes] // often).min())
         loss = room - sum(pattern)
         allowed = (bins - 1) * room - total - waste
         if loss > allowed:
@@ -263,7 +293,12 @@ def bin_completion(counts: np.ndarray, room: int, nodes: int = 6_000) -> list[tu
             stack.append(iter(()))
         else:
             stack.append(choices())
-    return best
+    return Packing(best, bins, least, bins <= least or (exact and whole))
+
+
+def exact_packing(counts: np.ndarray, room: int) -> Packing:
+    """bin_completion without bounds on nodes and fillings: proven to be least, however long it takes."""
+    return bin_completion(counts, room, nodes=math.inf, most=math.inf, calls=math.inf)
 
 
 # ---------------------------------------------------------------- assignment
@@ -310,7 +345,7 @@ def packed(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     counts = np.zeros(length + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most `length` rows
         counts[row["length"]] = row["count"]
-    slots = _deal(bin_completion(counts, length))
+    slots = _deal(bin_completion(counts, length).patterns)
     keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     rank = free_names(pieces, "rank")[0]
     ties = [F.col("row").getField(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
