@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, in_batches
@@ -19,6 +19,7 @@ ORDER = 3
 #: Bytes of text per language that the trees are grown from, in hash order.
 SAMPLE_BYTES = 1_500_000
 SAMPLE_ROWS = 600
+SAMPLE_TEXT = 250_000
 MOST_LANGUAGES = 200
 UNKNOWN = "und"
 
@@ -172,13 +173,14 @@ class Coder:
 
 
 def fit(docs: DataFrame) -> LanguageModel:
-    """Trees from at most SAMPLE_ROWS whole texts (about SAMPLE_BYTES) of each language, in hash order.
+    """Trees from about SAMPLE_ROWS texts of each language, in hash order until SAMPLE_BYTES are reached.
 
-    Rows with null text or lang, and held-out rows, aren't looked at. The driver holds counts by language (at most MOST_LANGUAGES)
-    and the bounded sample.
+    Of a longer text the first SAMPLE_TEXT characters count, and every language has at least one text, so the driver never holds
+    more than SAMPLE_BYTES and one text for a language, of MOST_LANGUAGES at most (more are an error). Rows with null or empty text,
+    null lang, and held-out rows aren't looked at; other columns neither. No rows: nothing is learned.
     """
-    rows = docs.select(F.col("doc_id"), "text", "lang").where(~held_out()).where("text is not null and lang is not null and length(text) > 0")
-    sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64(F.lit(9), "doc_id").alias("order")).where(~held_out()).where("text is not null and lang is not null and length(text) > 0")
+    sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"), F.min("order").alias("first")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(sums) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sums:
@@ -186,11 +188,16 @@ def fit(docs: DataFrame) -> LanguageModel:
     wide = 1 << 40
     share = F.lit(0)
     for r in sums:
-        part = min(1.0, SAMPLE_ROWS / r["n"], SAMPLE_BYTES / r["b"])
-        share = F.when(F.col("lang") == r["lang"], F.lit(max(math.ceil(part * wide), math.ceil(min(1.0, 4 / r["n"]) * wide)))).otherwise(share)
-    chosen = rows.withColumn("__h", F.xxhash64(F.lit(9), "doc_id")).where(F.pmod("__h", F.lit(wide)) < share)
+        share = F.when(F.col("lang") == r["lang"], F.lit(math.ceil(min(1.0, SAMPLE_ROWS / r["n"], SAMPLE_BYTES / r["b"]) * wide))).otherwise(share)
+    first = F.lit(False)
+    for r in sums:  # of every language the text of least hash, so that none is left out
+        first = first | ((F.col("lang") == r["lang"]) & (F.col("order") == F.lit(r["first"])))
+    order = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
+    chosen = rows.where((F.pmod("order", F.lit(wide)) < share) | first).select("lang", "order", "doc_id", F.substring("text", 1, SAMPLE_TEXT).alias("text"))
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = chosen.withColumn("number", F.row_number().over(order)).withColumn("before", F.coalesce(before, F.lit(0)))
     samples: dict[str, list[bytes]] = {}
-    for r in chosen.orderBy("__h", "doc_id", "text").limit(2 * SAMPLE_ROWS * len(sums)).collect():
+    for r in chosen.where((F.col("before") < SAMPLE_BYTES) & (F.col("number") <= 2 * SAMPLE_ROWS)).orderBy("lang", "number").collect():
         samples.setdefault(r["lang"], []).append(r["text"].encode())
     return grow(samples)
 
@@ -203,7 +210,7 @@ def _predict(model: LanguageModel) -> Callable[[Iterator[pa.RecordBatch]], Itera
             for part in chunks(whole, "text", 1 << 20):
                 data, offsets = text_buffer(part.column("text"))
                 bits = coder.bits(data, offsets)
-                letters = part.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
+                letters = part.column("letters").to_numpy(zero_copy_only=False).astype(bool)
                 best, score = np.full(len(letters), -1), np.zeros(len(letters))
                 if len(model.languages):
                     best = bits.argmin(1)
@@ -211,7 +218,7 @@ def _predict(model: LanguageModel) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     scale = 32 / np.maximum(np.diff(offsets), 32)
                     score = 1 / np.exp2(-(bits - bits.min(1, keepdims=True)) * scale[:, None]).sum(1)
                 best, score = np.where(letters, best, -1), np.where(letters, score, 0.0)
-                kept = [c for c in part.schema.names if c not in ("text", "__letters")]
+                kept = [c for c in part.schema.names if c not in ("text", "letters")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names[best], pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
     return run
@@ -223,6 +230,6 @@ def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     lang_pred is `und` with score 0 for null texts, texts without a letter, and where nothing could be
     learned. Ties go to the language first in order. A row per input row; only doc_id and text are looked at.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("__letters"))
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return in_batches(rows, _predict(model), f"doc_id {kind}, lang_pred string, score double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ COLUMNS = 16
 EPSILON = 2.1
 #: Share of candidates left down to which a column block is read for all of them.
 DENSE = 0.05
+#: Different numbers of dimensions that may occur.
+MOST_SIZES = 32
 #: Sampled vectors whose scores bound each query's k-th best from below.
 BOUNDING = 4_096
 
@@ -175,16 +178,21 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     Candidates that can't reach the k-th best of a bounded sample are abandoned early; that sample's best are
     answers too, so every query has k. Scores are exact, in double precision on the given vectors; ties go to the smaller vec_id.
 
-    Null, zero and non-finite vectors, null ids and vectors that haven't the most common number of
-    dimensions take no part. Equal rows count once; an id that stands on several vectors is a candidate with each, as a query with its
+    Null, zero and non-finite vectors and null ids take no part. Vectors of another number of dimensions have no inner product with a
+    query, so each number is searched by itself (MOST_SIZES at most, more are an error). Equal rows count once; an id that stands on several vectors is a candidate with each, as a query with its
     least. Fewer candidates than k: all. No vectors: no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable())
-    common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not common:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, n = rows.where(F.size("embedding") == common[0]["d"]), common[0]["count"]
+    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(MOST_SIZES + 1).collect()
+    if len(sizes) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} numbers of dimensions")
+    found = [_nearest_of(rows.where(F.size("embedding") == r["d"]), r["count"], every, k) for r in sizes]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_of(rows: DataFrame, n: int, every: int, k: int) -> DataFrame:
+    """nearest() for n vectors of one number of dimensions."""
     lists = max(1, min(MOST_LISTS, math.isqrt(n) // 2))
     hashed = rows.withColumn("__h", F.xxhash64(F.lit(2), "vec_id"))
     if n > SAMPLE:
