@@ -29,3 +29,16 @@ def test_stages_work_on_what_came_before(spark, tmp_path):
     encode = packing.encoder(packing.default_vocabulary())
     assert sum(r["length"] for r in packed.collect()) == sum(len(encode(r["text"] or "")) + 1 for r in mixed.collect())
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_odd_documents(spark, odd, empty):
+    """Nulls, empty and very long texts, repeated rows and columns with clashing names go through all stages."""
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == odd.columns
+    got = docs.collect()
+    assert all(r[c] == "mine" for r in got for c in odd.columns[5:])
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {r["doc_id"] for r in got}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
