@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm import mixing, near_dedup, packing, quality_classifier, substring_dedup
-from tabulon.llm.common import cut
+from tabulon.llm.common import cut, free_names, quoted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from the labels of sf_dir."""
+    """Documents that the quality classifier rejects go; it learns from the labels of sf_dir.
+
+    Null and empty texts have the score of no difference; repeated rows are judged alike; no rows, none; a column of any name stays as it is.
+    """
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.scored(docs, model).where(quality_classifier.accepted()).select(*docs.columns)
+    name = free_names(docs, "quality_score")[0]
+    scored = quality_classifier.scored(docs, model, name).where(quality_classifier.accepted(name))
+    return scored.select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
