@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,10 @@ APART = -1
 SHIFT = 3
 BEYOND = 3
 #: Words looked at first around a chain; where the score hasn't dropped at their end, MORE times as many are.
-MARGIN = 64
-MORE = 4
+MARGIN = 32
+MORE = 16
 #: Words of the blocks that texts are moved in.
-BLOCK = 256
+BLOCK = 64
 
 PASSAGE = "doc_id long, start_word long, end_word long, start_byte long, end_byte long, source_doc_id long, source_start_word long, source_end_word long, n_agreeing long, similarity double"
 NAMES = [f.split()[0] for f in PASSAGE.split(", ")]
@@ -107,21 +107,24 @@ def _headed(seeds: DataFrame) -> DataFrame:
 Node = tuple[int, int, int, int, int]
 
 
-def nodes(anchors: np.ndarray) -> list[Node]:
+def nodes(anchors: Iterable[tuple[int, int]]) -> list[Node]:
     """Anchors (place in text, place in source) gathered to runs on one diagonal.
 
     A node has the places of its first and last seed in text and source, and the words that its seeds cover.
     """
-    anchors = np.unique(anchors, axis=0)
-    diagonal = anchors[:, 0] - anchors[:, 1]
-    order = np.lexsort((anchors[:, 0], diagonal))
-    at, diagonal = anchors[order], diagonal[order]
-    step = np.diff(at[:, 0])
-    new = np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (step > NEAR)])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    gain = np.where(new, K, np.minimum(np.concatenate([[0], step]), K))
-    return list(zip(*at[first].T.tolist(), *at[last].T.tolist(), np.add.reduceat(gain, first).tolist(), strict=True))
+    out: list[Node] = []
+    diagonal, first, last, gain = None, 0, 0, 0
+    for d, t in sorted({(t - s, t) for t, s in anchors}):
+        if d == diagonal and t - last <= NEAR:
+            gain += min(t - last, K)
+            last = t
+            continue
+        if diagonal is not None:
+            out.append((first, first - diagonal, last, last - diagonal, gain))
+        diagonal, first, last, gain = d, t, t, K
+    if diagonal is not None:
+        out.append((first, first - diagonal, last, last - diagonal, gain))
+    return out
 
 
 def chains(found: list[Node], gap: int = GAP) -> list[list[Node]]:
@@ -183,10 +186,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int32()))]
     for batch in batches:
         rows: list[tuple] = []
-        columns = [batch.column(c) for c in ("at", "source_at")]
-        for doc, source, *at in zip(batch.column("doc_id").to_pylist(), batch.column("head").to_pylist(), *columns, strict=True):
-            anchors = np.stack([x.values.to_numpy(zero_copy_only=False) for x in at], 1)
-            parts = [p for c in chains(nodes(anchors)) for p in parted(c)]
+        for doc, source, *at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "head", "at", "source_at")), strict=True):
+            found = nodes(zip(*at, strict=True))
+            parts = [p for c in (chains(found) if len(found) > 1 else [found]) for p in parted(c)]
             for i, part in enumerate(p for p in parts if len(p) > 1 or p[0][4] > K):  # more than a single seed
                 rows.append((doc, source, i, [n[:4] for n in part]))
         yield _table(rows, ["doc_id", "source_id", "chain", "runs"], kinds)
@@ -197,39 +199,53 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts in blocks of BLOCK whole words."""
-    names, kinds = ["id", "block", "raw", "first_byte", "total"], [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
     for whole in batches:
         for part in chunks(whole, "text"):
             data, offsets = text_buffer(part.column("text"))
-            starts, ends, ranges = words(data, offsets)
-            rows = []
-            for i, (doc, a, b) in enumerate(zip(part.column("doc_id").to_pylist(), ranges[:-1].tolist(), ranges[1:].tolist(), strict=True)):
-                for block, at in enumerate(range(a, b, BLOCK)):
-                    low, high = int(starts[at]), int(ends[min(at + BLOCK, b) - 1])
-                    rows.append((doc, block, data[low:high].tobytes(), low - int(offsets[i]), b - a))
-            yield _table(rows, names, kinds)
+            starts, _, ranges = words(data, offsets)
+            n = np.diff(ranges)
+            count = -(-n // BLOCK)
+            row = np.repeat(np.arange(len(n)), count)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            low = starts[ranges[row] + block * BLOCK] if len(row) else np.zeros(0, np.int64)
+            places = np.concatenate([low, [len(data)]]).astype(np.int32)  # a block goes on to the next one's first word
+            raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
+            columns = [pa.array(block.astype(np.int32)), raw, pa.array(low - offsets[row]), pa.array(n[row].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *columns], ["id", "block", "raw", "first_byte", "total"])
 
 
 class Slice:
     """Words of consecutive blocks of a text: hashes, byte places, number of the first one, and how many the text has."""
 
-    def __init__(self, blocks: list[dict]):
-        blocks = sorted(blocks, key=lambda x: x["block"])
-        self.first, self.total = blocks[0]["block"] * BLOCK, blocks[0]["total"]
-        hashes, starts, ends = [], [], []
-        for x in blocks:
-            data = np.frombuffer(x["raw"], np.uint8)
-            low, high, _ = words(data, np.array([0, len(data)]))
-            hashes.append(word_hashes(LOWER[data], low, high))
-            starts.append(low + x["first_byte"])
-            ends.append(high + x["first_byte"])
-        self.hashes, self.starts, self.ends = np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
-        self.last = self.first + len(self.hashes)
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, total: int):
+        self.hashes, self.starts, self.ends, self.first, self.total = hashes, starts, ends, first, total
+        self.last = first + len(hashes)
 
     def between(self, low: int, high: int) -> np.ndarray:
         return self.hashes[low - self.first : high - self.first]
 
 
+def _slices(column: pa.Array) -> list[tuple[Slice, Slice]]:
+    """The slices of text and source from the blocks of each row, all tokenised at once."""
+    blocks, ends = column.flatten(), np.cumsum([0, *column.value_lengths().to_pylist()])
+    side, block, first_byte, total = (blocks.field(c).to_numpy(zero_copy_only=False) for c in ("side", "block", "first_byte", "total"))
+    order = np.lexsort((block, side, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
+    data, offsets = text_buffer(blocks.field("raw").take(pa.array(order)))
+    data = LOWER[data]
+    low, high, ranges = words(data, offsets)
+    hashes = word_hashes(data, low, high)
+    shift = np.repeat(first_byte[order] - offsets[:-1], np.diff(ranges))
+    low, high, out = low + shift, high + shift, []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        parted_at = a + int(np.searchsorted(side[order[a:b]], 1))
+        pair = []
+        for x, y in ((a, parted_at), (parted_at, b)):
+            words_of = slice(int(ranges[x]), int(ranges[y]))
+            pair.append(Slice(hashes[words_of], low[words_of], high[words_of], int(block[order[x]]) * BLOCK, int(total[order[x]])))
+        out.append((pair[0], pair[1]))
+    return out
+
+
 def gap_columns(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A best alignment (longest common subsequence) of two short runs: places in either, -1 opposite nothing."""
     if len(x) == len(y):
@@ -337,32 +353,51 @@ def segments(same: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of each chain; of one whose ends have to be looked at further a row with similarity -1 and its number as start_word."""
+    """Passages of each chain; of one whose ends could go on also a row with similarity -1, its number as start_byte and the words seen."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 512):
+            batch = whole.slice(begin, 512)
+            rows: list[tuple] = []
+            found = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source_id", "chain", "runs")), _slices(batch.column("blocks")), strict=True)
+            for doc, source, number, runs, (a, b) in found:
+                x, y, open_ends = aligned(a, b, runs)
+                same = (x >= 0) & (y >= 0)
+                same[same] = a.hashes[x[same] - a.first] == b.hashes[y[same] - b.first]
+                if open_ends:
+                    rows.append((doc, int(x[x >= 0].min()), int(x.max()) + 1, number, 0, source, 0, 0, 0, -1.0))
+                if same.sum() < SIMILARITY * LEAST - 1e-9:
+                    continue
+                for low, high in segments(same):
+                    agreeing = np.flatnonzero(same[low:high]) + low
+                    left, right = int(agreeing[0]), int(agreeing[-1])
+                    start, stop, source_start, source_stop = int(x[left]), int(x[right]) + 1, int(y[left]), int(y[right]) + 1
+                    alike = len(agreeing) / max(stop - start, source_stop - source_start)
+                    if stop - start >= LEAST and alike >= SIMILARITY - 1e-9:
+                        rows.append((doc, start, stop, int(a.starts[start - a.first]), int(a.ends[stop - 1 - a.first]), source, source_start, source_stop, len(agreeing), alike))
+            yield _table(rows, NAMES, KINDS)
+
+
+def _going_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of a document whose first or last word seen no passage holds together with the next one."""
     for batch in batches:
-        rows: list[tuple] = []
-        for i in range(batch.num_rows):
-            doc, source, number, runs, found = (batch.column(c)[i].as_py() for c in ("doc_id", "source_id", "chain", "runs", "blocks"))
-            a, b = (Slice([x for x in found if x["side"] == side]) for side in (0, 1))
-            x, y, open_ends = aligned(a, b, runs)
-            if open_ends:
-                rows.append((doc, number, 0, 0, 0, source, 0, 0, 0, -1.0))
-                continue
-            same = (x >= 0) & (y >= 0)
-            same[same] = a.hashes[x[same] - a.first] == b.hashes[y[same] - b.first]
-            for low, high in segments(same):
-                agreeing = np.flatnonzero(same[low:high]) + low
-                left, right = int(agreeing[0]), int(agreeing[-1])
-                start, stop, source_start, source_stop = int(x[left]), int(x[right]) + 1, int(y[left]), int(y[right]) + 1
-                alike = len(agreeing) / max(stop - start, source_stop - source_start)
-                if stop - start >= LEAST and alike >= SIMILARITY - 1e-9:
-                    rows.append((doc, start, stop, int(a.starts[start - a.first]), int(a.ends[stop - 1 - a.first]), source, source_start, source_stop, len(agreeing), alike))
-        yield _table(rows, NAMES, KINDS)
+        rows = []
+        for doc, ends, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ends", "spans")), strict=True):
+            held = sorted((s["start_word"], s["end_word"]) for s in spans or ())
+            far = np.maximum.accumulate([y for _, y in held]) if held else ()  # how far those go that start no later
+            for e in ends:
+                for low, high in ((e["start_word"] - 1, e["start_word"] + 1), (e["end_word"] - 1, e["end_word"] + 1)):
+                    at = bisect_right(held, (low, 1 << 60)) - 1
+                    if low >= 0 and (at < 0 or far[at] < high):
+                        rows.append((doc, e["source_id"], e["chain"]))
+                        break
+        yield _table(rows, ["doc_id", "source_id", "chain"], [pa.int64(), pa.int64(), pa.int32()])
 
 
 def _align_all(chained: DataFrame, texts: DataFrame) -> DataFrame:
     """Passages of all chains. Only blocks of the texts around the chains are gathered, for one chain at a time.
 
-    A chain whose ends still agree at the last word looked at comes again with a wider margin, until none does.
+    A chain whose ends still agree at the last word looked at comes again with a wider margin, until none does, unless a
+    passage of the document holds that end and what follows.
     """
     ids = cut(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
     blocks = cut(in_batches(restrict(texts, "doc_id", ids), _blocks, "id long, block int, raw binary, first_byte long, total int"))
@@ -381,7 +416,9 @@ def _align_all(chained: DataFrame, texts: DataFrame) -> DataFrame:
         rows = cut(in_batches(got, _align, PASSAGE))
         found = rows.where("similarity >= 0")
         done = found if done is None else done.unionByName(found)
-        still = rows.where("similarity < 0").select("doc_id", F.col("source_doc_id").alias("source_id"), F.col("start_word").cast("int").alias("chain"))
+        ends = rows.where("similarity < 0").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word", F.col("source_doc_id").alias("source_id"), F.col("start_byte").cast("int").alias("chain"))).alias("ends"))
+        spans = done.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+        still = cut(in_batches(ends.join(spans, "doc_id", "left"), _going_on, "doc_id long, source_id long, chain int"))
         if still.isEmpty():
             return done
         chained, margin = cut(chained.join(still, ["doc_id", "source_id", "chain"], "left_semi")), margin * MORE
