@@ -18,11 +18,6 @@ def label_text(text: object) -> str:
     return re.sub(r"[^a-z0-9]+", " ", text).strip()
 
 
-def phrase_spans(phrase: str, text: str) -> list[tuple[int, int]]:
-    """Where a phrase stands in text, not inside longer words."""
-    return [m.span() for m in re.finditer(rf"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])", text)] if phrase else []
-
-
 def unique_names(names: list[str]) -> list[str]:
     """Repeated names numbered from _2 on."""
     seen: dict[str, int] = {}

@@ -9,14 +9,29 @@ from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 WHOLE = r"^\s*[+-]?[0-9]+\s*$"
-NUMBER_SHAPE = r"^[+-]?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{2,3})+)(?:\.[0-9]+)?$"
-DATA_SHAPE = r"^(?:[+-]?[0-9][0-9,]*(?:\.[0-9]+)?%?|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})$"
+NUMBER_SHAPE = r"^[+-]?(?:[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|\.[0-9]+)$"
+DATA_SHAPE = r"^(?:[+-]?(?:[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|\.[0-9]+)%?|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})$"
 # Accepted date formats.
 DATE_FORMATS = (
-    "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "d-M-yy", "d/M/yy", "d.M.yy",
-    "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMM-yy", "d-MMMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM yyyy",
-)
-DATE_SHAPE = r"^(?:[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{4}|[0-9]{2})|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[- ][A-Za-z]{3,9}[- ](?:[0-9]{4}|[0-9]{2})|[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}|[A-Za-z]{3} [0-9]{4})$"
+    "d-M-yyyy",
+    "d-M-yy",
+    "d/M/yyyy",
+    "d/M/yy",
+    "d.M.yyyy",
+    "d.M.yy",
+    "yyyy-M-d",
+    "yyyy/M/d",
+    "yyyy.M.d",
+    "d-MMM-yyyy",
+    "d-MMM-yy",
+    "d MMM yyyy",
+    "d MMM yy",
+    "d-MMMM-yyyy",
+    "d-MMMM-yy",
+    "d MMMM yyyy",
+    "d MMMM yy",
+)
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def named(name: str) -> Column:
@@ -47,7 +62,7 @@ def strip_script(c: Column, keep_layout: bool = False) -> Column:
 def clean_cell(c: Column, remove_script: bool = False) -> Column:
     """A generic cell: optionally without Devanagari letters and empty round brackets, white space collapsed."""
     if remove_script:
-        c = F.regexp_replace(F.regexp_replace(c, r"[ऀ-ॿ]+", " "), r"\(\s*\)", " ")
+        c = F.regexp_replace(F.regexp_replace(c, r"[ऀ-ॿ]+", ""), r"\(\s*\)", " ")
     return collapse(c)
 
 
@@ -60,14 +75,30 @@ def repair_wrapped_name(c: Column) -> Column:
     return F.when(c.isNull(), None).when(glue, F.concat(head, F.element_at(lines, -1))).otherwise(F.array_join(lines, " "))
 
 
-def parsed_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats)).cast("date")
+def parsed_date(c: Column) -> Column:
+    """The date of a text in one of DATE_FORMATS, null else. The text's shape tells its parts, which are parsed once."""
+    text = F.lower(collapse(c))
+    month = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
+    shapes = (  # place of year, month and day in the pattern
+        (r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})$", 4, 3, 1),
+        (r"^([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})$", 1, 3, 4),
+        (rf"^([0-9]{{1,2}})([- ])({month})\2([0-9]{{4}}|[0-9]{{2}})$", 4, 3, 1),
+    )
+    year, middle, day = F.lit(""), F.lit(""), F.lit("")
+    for shape, *places in shapes:
+        y, m, d = (F.regexp_extract(text, shape, p) for p in places)
+        hit = text.rlike(shape)
+        year, middle, day = (F.when(hit, new).otherwise(old) for new, old in ((y, year), (m, middle), (d, day)))
+    # years of two digits lie between 1969 and 2068
+    year = F.when(F.length(year) == 2, F.concat(F.when(year < "69", F.lit("20")).otherwise(F.lit("19")), year)).otherwise(year)
+    names = F.array(*(F.lit(m[:3]) for m in MONTHS))
+    middle = F.when(middle.rlike("^[a-z]"), F.array_position(names, F.substring(middle, 1, 3)).cast("string")).otherwise(middle)
+    return F.try_to_timestamp(F.when(year != "", F.concat_ws("-", year, middle, day)), F.lit("yyyy-M-d")).cast("date")
 
 
 def is_date_like(c: Column) -> Column:
     """A date in one of the formats, by shape and in the calendar."""
-    text = collapse(c.cast("string"))
-    return F.coalesce(text.rlike(DATE_SHAPE) & parsed_date(F.when(text.rlike(DATE_SHAPE), text)).isNotNull(), F.lit(False))
+    return F.coalesce(parsed_date(c.cast("string")).isNotNull(), F.lit(False))
 
 
 def is_number_like(c: Column) -> Column:

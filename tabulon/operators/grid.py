@@ -7,6 +7,7 @@ repaired side by side.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,7 @@ GRID = "doc_id string, page int, table_index int, row_pos int, cells array<strin
 #: Rows from the top among which a header is looked for, and rows a header spans at most above its data.
 HEADER_SCAN, HEADER_ROWS = 15, 4
 # Headers of free-text columns, whose cells run on over several rows.
-NARRATIVE_CUES = ("comment", "action", "remark", "description", "detail", "narrative", "summary", "note")
+NARRATIVE_CUES = ("action", "comment", "description", "detail", "narrative", "note", "observation", "remark")
 
 
 def grid_of(spark, rows: list[list], doc_id: str = "doc", page: int = 1, table_index: int = 0) -> DataFrame:
@@ -119,18 +120,21 @@ def forward_fill(df: DataFrame, names: list[str], order: str = "row_pos", by: li
 
 
 def suggest_header(rows: list[list[str | None]], data_like) -> list[int]:
-    """Rows just above the first that holds data; data_like tells what a data cell is."""
+    """Rows just above the first that holds data (data_like tells what a data cell is); none without data or if that is the first row.
+
+    Going up from the data, sparse rows count once a denser one stands above them, and end the header above it.
+    """
     width = max(map(len, rows), default=0)
-    first = next((i for i, r in enumerate(rows) if sum(bool(c) and data_like(c) for c in r) >= max(2, int(0.4 * width))), None)
-    if first is None:
-        return [0]
-    out: list[int] = []
-    for i in range(first - 1, max(-1, first - 1 - HEADER_ROWS), -1):
-        n = sum(c is not None and bool(c.strip()) for c in rows[i])
-        if out and n <= max(1, width // 5):
-            break
-        out.insert(0, i)
-    return out or [0]
+    first = next((i for i, r in enumerate(rows[:HEADER_SCAN]) if sum(bool(c) and data_like(c) for c in r) >= max(2, int(0.4 * width))), 0)
+    dense = [sum(c is not None and bool(c.strip()) for c in r) > max(1, width // 5) for r in rows[:first]]
+    near = range(max(0, first - HEADER_ROWS), first)
+    last = max((i for i in near if dense[i]), default=None)
+    if last is None:
+        return []
+    top = last
+    while top - 1 in near and dense[top - 1]:
+        top -= 1
+    return list(range(top, first))
 
 
 def suggested_header(grid: DataFrame) -> list[int]:
@@ -144,12 +148,12 @@ def combined_names(block: list[list[str | None]]) -> list[str]:
     rows = []
     for r in block:
         some = sum(c is not None and bool(c.strip()) for c in r)
-        rows.append(fill_right(r) if some > 1 and len(block) > 1 else ["" if c is None else c for c in r])
+        rows.append(fill_right(r) if some > 1 else ["" if c is None else c for c in r])
     names = []
     for i, parts in enumerate(zip(*rows, strict=True)):
         kept: dict[str, str] = {}
         for p in parts:
-            plain = " ".join(p.split())
+            plain = p.strip()
             if plain:
                 kept.setdefault(plain.casefold(), plain)
         names.append(" | ".join(kept.values()) or f"Column_{i + 1}")
@@ -164,15 +168,11 @@ def column_stats(grid: DataFrame) -> DataFrame:
 
 
 def split_header_columns(block: list[list[str | None]], counts: list[int]) -> dict[int, int]:
-    """Columns filled in the header only, each with the nearest unlabelled column of data it belongs to."""
+    """Columns filled in the header only, each with the nearest unlabelled column of data (the left one of two) it belongs to."""
     labelled = [any(c is not None and c.strip() for c in col) for col in zip(*block, strict=True)]
     bare = [i for i, (label, n) in enumerate(zip(labelled, counts, strict=True)) if not label and n]
-    out: dict[int, int] = {}
-    for i, (label, n) in enumerate(zip(labelled, counts, strict=True)):
-        free = [b for b in bare if b not in out.values()]
-        if label and not n and free:
-            out[i] = min(free, key=lambda b: (abs(b - i), b))
-    return out
+    loose = [i for i, (label, n) in enumerate(zip(labelled, counts, strict=True)) if label and not n]
+    return {i: min(bare, key=lambda b: (abs(b - i), b > i, b)) for i in loose} if bare else {}
 
 
 def clean_grid(grid: DataFrame, header: int = 0, header_rows: int = 1, drop_empty: bool = True, remove_script: bool = False, remove_repeats: bool = True, merge_wrapped: bool = True) -> DataFrame:
@@ -186,7 +186,7 @@ def clean_grid(grid: DataFrame, header: int = 0, header_rows: int = 1, drop_empt
     moves = split_header_columns(block, [counts.get(i, 0) for i in range(width)])
     for row in block:
         for a, b in moves.items():
-            row[b] = " ".join(x for x in (row[b], row[a]) if x) or None
+            row[b] = "\n".join(x for x in (row[b], row[a]) if x and x.strip()) or None
     kept = [i for i in range(width) if i not in moves]
     names = combined_names([[row[i] for i in kept] for row in block])
     body = grid.where(F.col("row_pos") >= header + header_rows).withColumn("cells", F.array(*(F.col("cells")[i] for i in kept)))
@@ -258,14 +258,16 @@ def split_sections(grid: DataFrame) -> DataFrame:
     return rows.withColumn("section_title", title).drop("__open")
 
 
-def suspicious_columns(df: DataFrame) -> list[tuple[str, str]]:
-    """Filled Column_N columns with the very short name to their left."""
+def suspicious_columns(df: DataFrame) -> list[str]:
+    """Filled Column_N columns, each with a very short name to its left, in the order of the table."""
     names = [c for c in df.columns if c != "row_pos"]
-    pairs = [(a, b) for a, b in zip(names, names[1:], strict=False) if b.startswith("Column_") and b[7:].isdigit() and len("".join(a.split())) <= 4]
-    if not pairs:
+    numbered = [c for c in names if re.fullmatch(r"column_[0-9]+", c, re.IGNORECASE)]
+    if not numbered:
         return []
-    row = df.agg(*(F.max(~is_missing(named(b))).alias(f"f{i}") for i, (_, b) in enumerate(pairs))).first()
-    return [p for i, p in enumerate(pairs) if row[f"f{i}"]]
+    row = df.agg(*(F.max(~is_missing(named(c))).alias(f"f{i}") for i, c in enumerate(numbered))).first()
+    found = {c for i, c in enumerate(numbered) if row[f"f{i}"]}
+    found |= {a for a, b in zip(names, names[1:], strict=False) if b in found and len(re.sub(r"\W+", "", a)) <= 4}
+    return [c for c in names if c in found]
 
 
 def normalise_span(grid: DataFrame) -> DataFrame:

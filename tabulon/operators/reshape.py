@@ -23,9 +23,12 @@ def melt(df: DataFrame, ids: list[str], value: str, variable: str = "Date", kind
             raise RequestError(f"{bad[0]!r} is no date")
     keep = [*ids, *([order] if order else [])]
     cells = [F.struct(F.lit(i).alias("at"), F.lit(m).alias("name"), named(m).cast(kind).alias("v")) for i, m in enumerate(measures)]
-    long = df.select(*map(named, keep), F.inline(F.array(*cells)))
-    name = F.to_date("name", date_format) if date_format else F.col("name")
-    return long.select(*map(named, keep), name.alias(variable), F.col("v").alias(value), F.col("at").alias("measure_pos"))
+    cell = "cell"
+    while cell in (c.lower() for c in keep):  # one helper column, of a name that no kept one has
+        cell += "_"
+    long = df.select(*map(named, keep), F.explode(F.array(*cells)).alias(cell))
+    name = F.to_date(F.col(cell)["name"], date_format) if date_format else F.col(cell)["name"]
+    return long.select(*map(named, keep), name.alias(variable), F.col(cell)["v"].alias(value), F.col(cell)["at"].alias("measure_pos"))
 
 
 def paired_melt(df: DataFrame, ids: dict[str, str], headers: dict[str, tuple[str, str]], metrics: dict[str, str], kind: str = "bigint", date_format: str = "d-M-yyyy") -> DataFrame:

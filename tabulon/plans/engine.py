@@ -32,7 +32,9 @@ def _literal(value: Any, kind: T.DataType, column: str) -> Column | None:
                 when = pd.to_datetime(value).to_pydatetime()
             except (ValueError, TypeError) as e:
                 raise RequestError(f"{value!r} is no date for {column!r}") from e
-        return F.lit(str(when)).cast("timestamp_ntz")
+        whole_day = not isinstance(when, dt.datetime) or when.time() == dt.time() and when.tzinfo is None
+        # in the column's own type, so that the comparison reaches the scan
+        return F.lit(str(when)[:10]).cast("date") if isinstance(kind, T.DateType) and whole_day else F.lit(str(when)).cast("timestamp" if isinstance(kind, T.TimestampType) else "timestamp_ntz")
     if isinstance(kind, T.BooleanType):
         if not isinstance(value, (bool, int, float)):
             raise RequestError(f"{value!r} is no truth value for {column!r}")
@@ -50,40 +52,46 @@ def _literal(value: Any, kind: T.DataType, column: str) -> Column | None:
 
 
 def predicate(spec: Filter, kind: T.DataType) -> Column:
-    """The filter as a condition that is never null."""
+    """The filter as a condition for WHERE: what is null there is not matched. Bare comparisons reach the scan.
+
+    Null cells, and cells that aren't numbers in columns of floats, are missing: they differ from every value and satisfy no comparison.
+    """
     c, op = named(spec.column), spec.operator
-    if isinstance(kind, (T.DateType, T.TimestampType)):
-        c = c.cast("timestamp_ntz")
+    number = isinstance(kind, (T.DoubleType, T.FloatType))
+    missing = c.isNull() | F.isnan(c) if number else c.isNull()
     if op == "contains":
-        text = F.date_format(c, "yyyy-MM-dd") if isinstance(kind, T.DateType) else c.cast("string")
-        return F.coalesce(F.contains(text, F.lit(spec.value)), F.lit(False))
+        text = F.date_format(c, "yyyy-MM-dd") if isinstance(kind, T.DateType) else c if isinstance(kind, T.StringType) else c.cast("string")
+        found = F.contains(text, F.lit(spec.value))
+        return found & ~F.isnan(c) if number else found
     if op in ("in", "not_in", "between"):
         values = [_literal(v, kind, spec.column) for v in spec.value]
         if op == "between":
             if any(v is None for v in values):
                 raise RequestError("between takes no null")
-            return F.coalesce(c.between(*values), F.lit(False))
+            return (c >= values[0]) & (c <= values[1])
         if isinstance(kind, T.StringType) and any(not isinstance(v, str) for v in spec.value if v is not None):
             values = [v for v, raw in zip(values, spec.value, strict=True) if raw is None or isinstance(raw, str)]
         known = [v for v in values if v is not None]
-        inside = F.coalesce(c.isin(*known), F.lit(False)) if known else F.lit(False)
         # a listed null finds null cells of text columns, and of dates beside a date
-        if len(known) < len(values) and (isinstance(kind, T.StringType) or isinstance(kind, DATES) and known):
-            inside = inside | c.isNull()
-        return inside if op == "in" else ~inside
+        nulls = len(known) < len(values) and (isinstance(kind, T.StringType) or bool(isinstance(kind, DATES) and known))
+        if op == "in":
+            inside = c.isin(*known) if known else F.lit(False)
+            return inside | c.isNull() if nulls else inside
+        outside = ~c.isin(*known) if known else F.lit(True)
+        return outside & c.isNotNull() if nulls else outside | c.isNull()
     value = _literal(spec.value, kind, spec.column)
     if value is None:
         if op not in ("eq", "ne"):
             raise RequestError(f"{op} takes no null")
-        return c.isNull() if op == "eq" else c.isNotNull()
+        return missing if op == "eq" else ~missing
     if isinstance(kind, T.StringType) and not isinstance(spec.value, str):
         if op not in ("eq", "ne"):
             raise RequestError(f"{spec.column!r} holds text and can't be compared with {spec.value!r}")
         return F.lit(op == "ne")
     if op == "ne":
-        return ~c.eqNullSafe(value)  # null cells differ from every value
+        return (c != value) | c.isNull()
     made = {"eq": c == value, "gt": c > value, "gte": c >= value, "lt": c < value, "lte": c <= value}[op]
-    return F.coalesce(made, F.lit(False))
+    return made & ~F.isnan(c) if number and op in ("gt", "gte") else made
 
 
 def aggregate(spec: Aggregation, kind: T.DataType) -> Column:
@@ -154,7 +162,7 @@ class Engine:
             table = table if isinstance(table, Table) else Table(table)
             if table.order_by and set(table.order_by) - set(table.rows.columns):
                 raise UnknownColumn(f"order columns of {name!r} don't exist")
-            self.tables[name.strip()] = Table(without_nan(table.rows), table.order_by)
+            self.tables[name.strip()] = table
 
     def describe(self) -> dict[str, dict[str, str]]:
         return {n: dict(t.rows.dtypes) for n, t in self.tables.items()}
@@ -170,6 +178,7 @@ class Engine:
         if lacking := [c for c in dict.fromkeys(asked) if c not in kinds]:
             raise UnknownColumn(f"no column {', '.join(map(repr, lacking))} in {request.table!r}")
         matched = table.rows.where(all_of([predicate(f, kinds[f.column]) for f in request.filters])) if request.filters else table.rows
+        matched = without_nan(matched)  # after the filter: that one is left as the scan can use it
         place = F.struct(*map(named, table.order_by)) if table.order_by else None
         hidden = "__place"
         if request.aggregations:
@@ -194,7 +203,7 @@ class Engine:
         elif request.order_by:
             keys += [named(c).asc_nulls_last() for c in names]
         answer = (answer.orderBy(*keys) if keys else answer).limit(request.limit)
-        return Result(request, table.rows, matched, answer.select(*map(named, names)), table)
+        return Result(request, without_nan(table.rows), matched, answer.select(*map(named, names)), table)
 
     def ask(self, request: Request | Mapping[str, Any] | str) -> list:
         return self.compile(request).rows()

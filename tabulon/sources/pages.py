@@ -41,7 +41,7 @@ def search_all(pages: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def has_text(pages: DataFrame, least: int = 50) -> DataFrame:
-    return pages.groupBy("doc_id").agg((F.sum(F.length(F.trim("text"))) >= least).alias("has_text"))
+    return pages.groupBy("doc_id").agg((F.sum(F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))) >= least).alias("has_text"))
 
 
 def without_tables(pages: DataFrame, grids: DataFrame) -> DataFrame:
