@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -461,33 +463,89 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(rows, ["doc_id", "low", "high"], RANGE_KINDS)
 
 
-def _all_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SEEDS = "seed long, offset int"
+
+
+def rarest(places: np.ndarray, seeds: np.ndarray, counts: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """For each run of LEAST words that begins from low to high, of its seeds the one that stands at the fewest places, and its word in the run.
+
+    `places` are in order. Seeds equally rare: the smaller one. Whoever has the run has that seed at that word of it.
+    """
+    i = j = 0
+    inside: deque[int] = deque()  # rising in rarity; the first is the rarest
+    for begin in range(low, high + 1):
+        while j < len(places) and places[j] <= begin + LEAST - K:
+            while inside and (counts[j], seeds[j]) <= (counts[inside[-1]], seeds[inside[-1]]):
+                inside.pop()
+            inside.append(j)
+            j += 1
+        while i < j and places[i] < begin:
+            i += 1
+        while inside and inside[0] < i:
+            inside.popleft()
+        if inside:
+            yield int(seeds[inside[0]]), int(places[inside[0]]) - begin
+
+
+def _telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rarest seeds of the runs that begin in the ranges of each text, and their places in these."""
+    for batch in batches:
+        out: set[tuple[int, int]] = set()
+        for held, low, high in zip(batch.column("held"), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
+            place, bare, seed, count = (held.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "bare", "seed", "n"))
+            order = np.lexsort((~bare, place))  # of a place the seed without a number, which other texts have whatever their numbers
+            order = order[np.concatenate([[True], np.diff(place[order]) > 0])]
+            for x, y in zip(low, high, strict=True):
+                out.update(rarest(place[order], seed[order], count[order], x, y))
+        yield _table(sorted(out), ["seed", "offset"], [pa.int64(), pa.int32()])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the stretches of a text the beginnings of runs that hold a marked seed at one of its words in uncovered runs."""
     for batch in batches:
         rows = []
-        for doc, places in zip(batch.column("doc_id").to_pylist(), batch.column("places"), strict=True):
-            out = list(_stretches(places.values.to_numpy(zero_copy_only=False)))
+        for doc, places, marks in zip(batch.column("doc_id").to_pylist(), batch.column("places"), batch.column("marks"), strict=True):
+            at, offsets = (marks.values.field(c) for c in ("at", "offsets"))
+            begins = np.unique(np.repeat(at.to_numpy(zero_copy_only=False), pc.list_value_length(offsets).to_numpy()) - offsets.flatten().to_numpy())
+            out: list[tuple[int, int]] = []
+            for low, high in _stretches(places.values.to_numpy(zero_copy_only=False)):
+                for begin in begins[np.searchsorted(begins, low) : np.searchsorted(begins, high, "right")].tolist():
+                    if out and begin <= out[-1][1] + 1:
+                        out[-1] = (out[-1][0], begin)
+                    else:
+                        out.append((begin, begin))
             if out:
                 rows.append((doc, [x for x, _ in out], [y for _, y in out]))
         yield _table(rows, ["doc_id", "low", "high"], RANGE_KINDS)
 
 
+RUNS = "seed long, doc_id long, at long, start_byte long, end_byte long, asks boolean"
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of LEAST words that begin in the given ranges of each text."""
+    """Runs of LEAST words that begin in the given ranges of each text: all in its uncovered ranges (asks), and of each run the first place in the batch."""
     for whole in batches:
+        found: list[tuple[np.ndarray, ...]] = []
         for part in chunks(whole, "text"):
             data, offsets = text_buffer(part.column("text"))
             data = LOWER[data]
             starts, ends, ranges = words(data, offsets)
             value, _ = windows(word_hashes(data, starts, ends), ranges, LEAST)
-            rows, places = [np.zeros(0, int)], [np.zeros(0, int)]
-            for i, (low, high) in enumerate(zip(part.column("low").to_pylist(), part.column("high").to_pylist(), strict=True)):
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            for i, (low, high, own_low, own_high) in enumerate(zip(*(part.column(c).to_pylist() for c in ("low", "high", "own_low", "own_high")), strict=True)):
                 last = int(ranges[i + 1] - ranges[i]) - LEAST
-                at = np.unique(np.concatenate([np.arange(x, min(y, last) + 1) for x, y in zip(low, high, strict=True)])) + ranges[i]
-                rows.append(np.full(len(at), i))
-                places.append(at)
-            row, at = np.concatenate(rows), np.concatenate(places)
-            columns = [value[at].view(np.int64), at - ranges[row], starts[at] - offsets[row], ends[at + LEAST - 1] - offsets[row]]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *map(pa.array, columns)], ["doc_id", "seed", "at", "start_byte", "end_byte"])
+                at = np.unique(np.concatenate([np.arange(x, min(y, last) + 1) for x, y in zip(low, high, strict=True)]))
+                asks = np.zeros(len(at), bool)
+                for x, y in zip(own_low or (), own_high or (), strict=True):
+                    asks |= (at >= x) & (at <= y)
+                word = at + ranges[i]
+                found.append((value[word].view(np.int64), np.full(len(at), ids[i]), at, starts[word] - offsets[i], ends[word + LEAST - 1] - offsets[i], asks))
+        if found:
+            seed, doc, at, start, end, asks = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((at, doc, seed))
+            first = order[np.concatenate([[True], np.diff(seed[order]) != 0])] if len(order) else order
+            take = np.concatenate([np.flatnonzero(asks), first[~asks[first]]])
+            yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (seed, doc, at, start, end, asks)], [f.split()[0] for f in RUNS.split(", ")])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,25 +567,31 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _exact_runs(texts: DataFrame, hits: DataFrame, passages: DataFrame) -> DataFrame | None:
     """Passages for runs of LEAST words that an earlier document has and that `passages` leave uncovered.
 
-    All seeds of such a run are shared, so its beginnings are looked for only where they are, and only in texts that share seeds with
-    an uncovered one; each run is then matched, by all of its words, with the earliest document that has it.
+    All seeds of such a run are shared, and whoever has the run has all of them, the rarest too: its beginnings are looked for only
+    in texts that hold the rarest seed of an uncovered run, as far before it as there and where all other seeds are those of uncovered runs. Each
+    run is then matched, by all of its words, with the earliest document that has it.
     """
-    at = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at")
-    later = hits.where("doc_id > head").select("doc_id", at).groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
+    later = hits.where("doc_id > head").select("doc_id", place.alias("at")).groupBy("doc_id").agg(F.collect_list("at").alias("places"))
     spans = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     left = cut(in_batches(later.join(spans, "doc_id", "left"), _uncovered, RANGES))
     if left.isEmpty():
         return None
     ranges = F.transform(F.arrays_zip("low", "high"), lambda r: F.struct(r["low"].alias("low"), (r["high"] + (LEAST - K)).alias("high")))
     inside = F.exists("ranges", lambda r: F.col("place").between(r["low"], r["high"]))
-    wanted = restrict(hits.select("seed", "doc_id", at.alias("place")), "doc_id", left.select("doc_id", ranges.alias("ranges")), "inner", sizes="ranges").where(inside)
-    wanted = cut(wanted.select("seed").distinct())
-    near = restrict(hits.select("seed", "doc_id", at), "seed", wanted).groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    near = cut(in_batches(near, _all_stretches, RANGES))
-    runs = _headed(in_batches(restrict(texts, "doc_id", near, "inner", sizes="low"), _runs, "doc_id long, seed long, at long, start_byte long, end_byte long"))
-    first = runs.where("doc_id = head").groupBy("seed", "head").agg(F.min("at").alias("source_at"))
-    pairs = runs.where("doc_id > head").join(first, ["seed", "head"])
-    pairs = restrict(pairs.withColumn("place", F.col("at")), "doc_id", left.select("doc_id", F.arrays_zip("low", "high").alias("ranges")), "inner", sizes="ranges").where(inside)
+    wanted = restrict(hits.select("seed", "doc_id", place.alias("place"), (F.col("at") < 0).alias("bare")), "doc_id", left.select("doc_id", ranges.alias("ranges")), "inner", sizes="ranges").where(inside)
+    wanted = cut(wanted.select("seed", "doc_id", "place", "bare"))
+    held = cut(restrict(hits.select("seed", "doc_id", place.alias("at")), "seed", cut(wanted.select("seed").distinct())))
+    counted = wanted.join(held.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "seed")
+    counted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bare", "seed", "n")).alias("held")).join(left, "doc_id")
+    telling = cut(in_batches(counted, _telling, SEEDS).groupBy("seed").agg(F.collect_set("offset").alias("offsets")))  # LEAST - K + 1 at most
+    marks = cut(restrict(held, "seed", telling, "inner", sizes="offsets").groupBy("doc_id").agg(F.collect_list(F.struct("at", "offsets")).alias("marks")))
+    near = restrict(held, "doc_id", marks.select("doc_id")).groupBy("doc_id").agg(F.collect_list("at").alias("places")).join(marks, "doc_id")
+    own = left.select("doc_id", F.col("low").alias("own_low"), F.col("high").alias("own_high"))
+    near = cut(in_batches(near, _near, RANGES).join(own, "doc_id", "left"))
+    runs = cut(in_batches(restrict(texts, "doc_id", near, "inner", sizes="low"), _runs, RUNS))
+    first = runs.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("seed", F.col("first.doc_id").alias("head"), F.col("first.at").alias("source_at"))
+    pairs = runs.where("asks").join(first, "seed").where("doc_id > head")
     return in_batches(pairs.groupBy("doc_id", "head").agg(F.collect_list(F.struct("at", "start_byte", "end_byte", "source_at")).alias("runs")), _joined, PASSAGE)
 
 
