@@ -586,7 +586,7 @@ def _exact_runs(texts: DataFrame, hits: DataFrame, passages: DataFrame) -> DataF
     counted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bare", "seed", "n")).alias("held")).join(left, "doc_id")
     telling = cut(in_batches(counted, _telling, SEEDS).groupBy("seed").agg(F.collect_set("offset").alias("offsets")))  # LEAST - K + 1 at most
     marks = cut(restrict(held, "seed", telling, "inner", sizes="offsets").groupBy("doc_id").agg(F.collect_list(F.struct("at", "offsets")).alias("marks")))
-    near = restrict(held, "doc_id", marks.select("doc_id")).groupBy("doc_id").agg(F.collect_list("at").alias("places")).join(marks, "doc_id")
+    near = held.groupBy("doc_id").agg(F.collect_list("at").alias("places")).join(marks, "doc_id")
     own = left.select("doc_id", F.col("low").alias("own_low"), F.col("high").alias("own_high"))
     near = cut(in_batches(near, _near, RANGES).join(own, "doc_id", "left"))
     runs = cut(in_batches(restrict(texts, "doc_id", near, "inner", sizes="low"), _runs, RUNS))
