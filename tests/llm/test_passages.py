@@ -186,3 +186,18 @@ def test_repeated_doc_ids(spark):
     rows = [(1, first), (1, second), (2, first), (2, first), (3, second)]
     got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 1 and got[0]["doc_id"] in (2, 3) and got[0]["source_doc_id"] == 1
+
+
+def test_rarest_seed_of_each_run():
+    r = random.Random(8)
+    for _ in range(50):
+        places = np.array(sorted(r.sample(range(300), 90)))
+        seeds, counts = np.array([r.randrange(40) for _ in places]), np.array([r.randrange(1, 6) for _ in places])
+        low, high = 20, 180
+        wanted = []
+        for begin in range(low, high + 1):
+            inside = [i for i, x in enumerate(places) if begin <= x <= begin + substring_dedup.LEAST - substring_dedup.K]
+            if inside:
+                i = min(inside, key=lambda i: (counts[i], seeds[i], -places[i]))
+                wanted.append((int(seeds[i]), int(places[i]) - begin))
+        assert list(substring_dedup.rarest(places, seeds, counts, low, high)) == wanted
