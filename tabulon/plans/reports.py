@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RequestError
-from ..functions.text import clean_cell, is_missing, lenient_number, named
+from ..functions.text import clean_cell, collapse, is_missing, lenient_number, named, repair_wrapped_name
 from ..operators import grid as grids
 from ..operators.quality import Contract
 from ..operators.reshape import assign_from_mapping, melt, paired_melt, states_by_total
@@ -183,9 +183,68 @@ def demand(grid: DataFrame) -> dict[str, Output]:
     return {"clean": Output(clean, Contract(column_count=DEMAND_COLUMNS)), "long": Output(long, _long_contract(values))}
 
 
+# How an outbreak's identifier is made, and the columns of the two outbreak tables.
+OUTBREAK_ID = r"^[A-Z]{2}/[A-Z]{3}/\d{4}/\d+/\d+$"
+CURRENT_COLUMNS = ("Unique_ID", "State_UT", "District", "Disease_Illness", "Cases", "Deaths", "Outbreak_Start_Date", "Reporting_Date", "Current_Status", "Comments_Action_Taken")
+LATE_COLUMNS = ("Unique_ID", "State_UT", "District", "Disease_Illness", "Cases", "Deaths", "Outbreak_Start_Date", "Current_Status", "Comments_Action_Taken")
+CURRENT_WIDTH, LATE_WIDTH = 12, 11
+OUTBREAK_NAMES, OUTBREAK_COUNTS, OUTBREAK_DATES = ("State_UT", "District"), ("Cases", "Deaths"), ("Outbreak_Start_Date", "Reporting_Date")
+
+
+def _cells(*places: int) -> Column:
+    return F.array(*(F.col("cells")[p] for p in places))
+
+
+def _outbreaks(grid: DataFrame, names: tuple[str, ...], width: int, fields: Column, comments_from: Column | int) -> dict[str, Output]:
+    """One row per outbreak: `clean` has its dates as text, `analysis` as dates.
+
+    Cells that are missing, counts that are no numbers and dates that are none become null, which the contracts refuse,
+    as they do an identifier that stands twice.
+    """
+    found = grids.shape(grid).first()
+    if found is None or found["n_columns"] < width:
+        raise RequestError(f"an outbreak table has {width} columns or more")
+    records = grids.stitch_records(grid, OUTBREAK_ID, fields, comments_from)
+    if records.isEmpty():
+        raise RequestError("no row starts with the identifier of an outbreak")
+    columns = []
+    for i, name in enumerate(names):
+        cell = F.col("comments") if name == names[-1] else F.col("fields")[i]
+        text = repair_wrapped_name(cell) if name in OUTBREAK_NAMES else collapse(cell)
+        text = F.when(~is_missing(text), text)
+        columns.append((lenient_number(text) if name in OUTBREAK_COUNTS else text).alias(name))
+    clean = records.select("row_pos", *columns)
+    dates = {d: F.try_to_timestamp(F.col(d), F.lit("d-M-yyyy")).cast("date") for d in OUTBREAK_DATES if d in names}
+    contract = Contract(columns=names, filled=names, unique_key=names[:1])
+    return {"clean": Output(clean, contract), "analysis": Output(clean.withColumns(dates), contract)}
+
+
+def current_outbreaks(grid: DataFrame) -> dict[str, Output]:
+    """Outbreaks of the week, whose comments run on over several rows and columns."""
+    return _outbreaks(grid, CURRENT_COLUMNS, CURRENT_WIDTH, _cells(*range(9)), 9)
+
+
+def late_outbreaks(grid: DataFrame) -> dict[str, Output]:
+    """Outbreaks reported late. On some pages all is one column further right, and the status three: there the second cell is blank."""
+    shifted = is_missing(F.col("cells")[1]) & ~is_missing(F.col("cells")[2])
+    fields = F.when(shifted, _cells(0, 2, 3, 4, 5, 6, 7, 10)).otherwise(_cells(*range(8)))
+    return _outbreaks(grid, LATE_COLUMNS, LATE_WIDTH, fields, F.when(shifted, 11).otherwise(8))
+
+
+def finished(outputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Of what process returns the last output of each table, by the table's name: the tables that questions are about."""
+    return {name.rpartition(".")[0]: rows for name, rows in outputs.items()}
+
+
 POWER = Report(
     "weekly_power_report",
     ("Energy Consumption", "Maximum Demand Met"),
     (ReportTable("energy_consumption", ("Energy Consumption",), energy), ReportTable("maximum_demand", ("Maximum Demand Met",), demand)),
 )
-REPORTS = (POWER,)
+_LATE = "DISEASE OUTBREAKS OF PREVIOUS WEEKS REPORTED LATE"
+OUTBREAKS = Report(
+    "weekly_outbreak_report",
+    ("WEEKLY OUTBREAK REPORT", "Integrated Disease Surveillance Program"),
+    (ReportTable("current_outbreaks", ("Comments/ Action Taken",), current_outbreaks, ends=(_LATE,)), ReportTable("late_outbreaks", (_LATE,), late_outbreaks, ends=("COVID-19 STATUS",), with_end=True)),
+)
+REPORTS = (POWER, OUTBREAKS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -157,11 +157,14 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH i AS (SELECT *, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)
-SELECT user_id, CAST(g AS BIGINT) AS record, min(event_id) AS first_event, count(*) AS n FROM i WHERE g > 0 GROUP BY 1, 2""")
+SELECT CAST(user_id AS VARCHAR) AS user_id, min(event_id) AS first_event, CAST(min(event_id) AS VARCHAR) AS first_cell, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS comments FROM i WHERE g > 0 GROUP BY user_id, g""")
 def record_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upto = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, sf_dir, "events").withColumn("record", F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(upto)).where("record > 0")
-    return rows.groupBy("user_id", "record").agg(F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("n"))
+    from .operators.grid import stitch_records
+
+    cells = F.array("event_type", F.col("event_id").cast("string"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_index"), F.col("event_id").alias("row_pos"), cells.alias("cells"))
+    records = stitch_records(rows, "^click$", F.array(F.col("cells")[1]), 1)
+    return records.select(F.col("doc_id").alias("user_id"), F.col("row_pos").alias("first_event"), F.col("fields")[0].alias("first_cell"), "comments")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
@@ -222,8 +225,9 @@ def date_number_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS n_rows, count(*) - count(quality) AS missing_quality, count(*) - count(lang) AS missing_lang FROM {LABELLED}")
 def missing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missing = lambda c: F.count_if(X.is_missing(F.col(c)))
-    return labelled(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"), missing("quality").alias("missing_quality"), missing("lang").alias("missing_lang"))
+    rows = labelled(spark, sf_dir)
+    n = quality.missing_by_column(rows, "doc_id")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(n["quality"]).cast("long").alias("missing_quality"), F.lit(n["lang"]).cast("long").alias("missing_lang"))
 
 
 @query(f"SELECT doc_id AS row_pos, CAST(CASE WHEN quality IS NULL THEN 1 ELSE 0 END AS INTEGER) AS n_missing FROM {LABELLED}")
@@ -231,9 +235,13 @@ def missing_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.missing_by_row(labelled(spark, sf_dir).withColumnRenamed("doc_id", "row_pos"))
 
 
-@query(f"SELECT doc_id FROM {LABELLED} WHERE quality IS NULL")
+@query(f"""SELECT '5 columns instead of 4' AS violation UNION ALL SELECT 'column ''title'' is missing'
+UNION ALL SELECT n || ' missing cells in ''quality''' FROM (SELECT count(*) - count(quality) AS n FROM {LABELLED}) WHERE n > 0
+UNION ALL SELECT n || ' rows share a key of lang' FROM (SELECT count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY lang) AS k FROM documents) WHERE k > 1) WHERE n > 0""")
 def schema_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rows_with_missing(labelled(spark, sf_dir), ["quality", "lang"]).select("doc_id")
+    contract = quality.Contract(column_count=4, required=("title",), filled=("quality", "n_chars"), unique_key=("lang",))
+    found = contract.violations(labelled(spark, sf_dir), "row_pos")
+    return spark.createDataFrame([(v,) for v in found], "violation string")
 
 
 @query('SELECT event_type AS "Category", max(value) AS "Value" FROM events WHERE value IS NOT NULL GROUP BY 1 ORDER BY min(event_id) LIMIT 50')
@@ -241,7 +249,14 @@ def chart_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generic.chart_data(table(spark, sf_dir, "events"), "event_type", "value", "max", order="event_id")
 
 
-@query("SELECT item_id AS id, text, NULL::VARCHAR AS role FROM benchmark UNION ALL SELECT conv_id, text, role FROM conversations")
+@query("""SELECT CAST(row_number() OVER (ORDER BY page, place) - 1 AS INTEGER) AS row_pos, name, region FROM (
+SELECT 1 AS page, r_regionkey AS place, r_name AS name, NULL::VARCHAR AS region FROM region UNION ALL SELECT 2, n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) FROM nation)""")
 def union_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return a.unionByName(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text", "role"), allowMissingColumns=True)
+    from .operators.grid import span
+
+    def page(name: str, at: str, number: int, *cells: str) -> DataFrame:
+        texts = F.array(*(F.col(c).cast("string") for c in cells))
+        return table(spark, sf_dir, name).select(F.lit("places").alias("doc_id"), F.lit(number).alias("page"), F.lit(0).alias("table_index"), F.col(at).cast("int").alias("row_pos"), texts.alias("cells"))
+
+    rows = span(page("region", "r_regionkey", 1, "r_name").unionByName(page("nation", "n_nationkey", 2, "n_name", "n_regionkey")), "places", [1, 2])
+    return rows.select("row_pos", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("region"))
