@@ -176,11 +176,16 @@ def split_header_columns(block: list[list[str | None]], counts: list[int]) -> di
 
 
 def clean_grid(grid: DataFrame, header: int = 0, header_rows: int = 1, drop_empty: bool = True, remove_script: bool = False, remove_repeats: bool = True, merge_wrapped: bool = True) -> DataFrame:
-    """One grid as a clean table: cells cleaned, headers joined and promoted, repeats and wraps repaired, empties dropped."""
+    """One grid as a clean table: cells cleaned, headers joined and promoted, repeats and wraps repaired, empties dropped.
+
+    With no header rows the columns are numbered.
+    """
     grid = grid.withColumn("cells", F.transform("cells", lambda c: clean_cell(c, remove_script)))
-    block = [r["cells"] for r in grid.where(F.col("row_pos").between(header, header + header_rows - 1)).orderBy("row_pos").limit(header_rows).collect()]
+    block = [r["cells"] for r in grid.where(F.col("row_pos").between(header, header + header_rows - 1)).orderBy("row_pos").limit(header_rows).collect()] if header_rows else []
     if len(block) < header_rows:
         raise RequestError("header rows lie outside the table")
+    if not block:
+        block = [[None] * (grid.agg(F.max(F.size("cells"))).first()[0] or 0)]
     width = len(block[0])
     counts = {r["column"]: r["n"] for r in column_stats(grid.where(F.col("row_pos") >= header + header_rows)).collect()}  # a row per column
     moves = split_header_columns(block, [counts.get(i, 0) for i in range(width)])
