@@ -178,7 +178,7 @@ def split_header_columns(block: list[list[str | None]], counts: list[int]) -> di
 def clean_grid(grid: DataFrame, header: int = 0, header_rows: int = 1, drop_empty: bool = True, remove_script: bool = False, remove_repeats: bool = True, merge_wrapped: bool = True) -> DataFrame:
     """One grid as a clean table: cells cleaned, headers joined and promoted, repeats and wraps repaired, empties dropped.
 
-    With no header rows the columns are numbered.
+    With no header rows the columns are named by their places from 0, and no row repeats a header.
     """
     grid = grid.withColumn("cells", F.transform("cells", lambda c: clean_cell(c, remove_script)))
     block = [r["cells"] for r in grid.where(F.col("row_pos").between(header, header + header_rows - 1)).orderBy("row_pos").limit(header_rows).collect()] if header_rows else []
@@ -193,9 +193,9 @@ def clean_grid(grid: DataFrame, header: int = 0, header_rows: int = 1, drop_empt
         for a, b in moves.items():
             row[b] = "\n".join(x for x in (row[b], row[a]) if x and x.strip()) or None
     kept = [i for i in range(width) if i not in moves]
-    names = combined_names([[row[i] for i in kept] for row in block])
+    names = combined_names([[row[i] for i in kept] for row in block]) if header_rows else [str(i) for i in kept]
     body = grid.where(F.col("row_pos") >= header + header_rows).withColumn("cells", F.array(*(F.col("cells")[i] for i in kept)))
-    if remove_repeats:
+    if remove_repeats and header_rows:
         body = body.where(~repeated_header(names))
     if merge_wrapped:
         body = merge_continuations(body, names)

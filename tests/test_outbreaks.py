@@ -1,7 +1,9 @@
 import datetime
+import json
 
 import pytest
 
+from tabulon import cli
 from tabulon.errors import RequestError
 from tabulon.operators.grid import grid_of
 from tabulon.plans import catalogs, reports
@@ -64,3 +66,25 @@ def test_questions_about_a_known_report(spark):
     assert answer("Total late deaths") == [(2.0,)]
     assert answer("Average late reported cases by disease from 2024-01-22 to 2024-01-31") == [("Mumps", 8.0)]
     assert set(catalogs.CATALOGS) == {r.name for r in reports.REPORTS}
+
+
+def test_command_line_on_a_known_report(spark, tmp_path, capsys):
+    pages, grid = document(spark)
+    pages.write.parquet(str(tmp_path / "pages"))
+    grid.write.parquet(str(tmp_path / "grid"))
+    given = ["--pages", str(tmp_path / "pages"), "--grid", str(tmp_path / "grid"), "--document", "o"]
+
+    def run(*args):
+        return cli.main(list(args)), capsys.readouterr()
+
+    code, said = run("profiles")
+    assert code == 0 and "weekly_outbreak_report" in said.out and "  Table: late_outbreaks" in said.out
+    code, said = run("process", *given, "--out", str(tmp_path / "out"))
+    assert code == 0 and "late_outbreaks.clean: 2 rows, 9 columns" in said.out
+    assert (tmp_path / "out" / "current_outbreaks_analysis.csv").read_text("utf-8-sig").startswith("Unique_ID,State_UT")
+    assert run("process", *given, "--out", str(tmp_path / "out"))[0] == 2  # the files are there
+    code, said = run("tables", *given)
+    assert code == 0 and set(json.loads(said.out)) == {"current_outbreaks", "late_outbreaks"}
+    code, said = run("ask", *given, "--question", "Total late deaths")
+    assert code == 0 and list(json.loads(said.out)["answer"][0].values()) == [2.0]
+    assert run("ask", "--pages", "x")[0] == 2 and run("describe")[0] == 2
