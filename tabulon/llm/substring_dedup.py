@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -98,10 +100,132 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([seed, bare[again]]).view(np.int64)), ids, pa.array(np.concatenate([at, -1 - at[again]]))], ["seed", "doc_id", "at"])
 
 
-def _headed(seeds: DataFrame) -> DataFrame:
-    """Seeds that several documents have, with the smallest of these as head."""
-    heads = seeds.groupBy("seed").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").drop("tail")
-    return cut(seeds.join(heads, "seed"))
+HITS = "seed long, doc_id long, at int, head long, source_at int"
+HIT = np.dtype([("seed", np.int64), ("doc_id", np.int64), ("at", np.int32)])
+#: Rows that are sorted at once; where there are more, they are dealt into files by so many bits of their seeds.
+HELD = 1 << 19
+BITS = 4
+#: Top bits of a seed by which the seeds are shuffled.
+BUCKET_BITS = 10
+
+
+def _hits(rows: np.ndarray, head: np.ndarray, source_at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in HITS.split(", ")]
+    for low in range(0, len(rows), HELD >> 2):
+        part = slice(low, low + (HELD >> 2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[part])) for c in (*(rows[c] for c in HIT.names), head, source_at)], names)
+
+
+def _least(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the groups of rows that begin at `first` the smallest doc_id, the first place there and the largest doc_id."""
+    doc, at = np.ascontiguousarray(rows["doc_id"]), rows["at"]
+    head = np.minimum.reduceat(doc, first)
+    there = np.repeat(head, np.diff(np.append(first, len(doc)))) == doc
+    return head, np.minimum.reduceat(np.where(there & (at >= 0), at, np.iinfo(np.int32).max), first), np.maximum.reduceat(doc, first)
+
+
+class _Dealt:
+    """Rows in a file, and the least and the largest seed of them."""
+
+    def __init__(self) -> None:
+        self.file, self.low, self.high = tempfile.TemporaryFile(), 1 << 63, -1 << 63
+
+    def add(self, rows: np.ndarray) -> None:
+        if len(rows):
+            self.low, self.high = min(self.low, int(rows["seed"].min())), max(self.high, int(rows["seed"].max()))
+            self.file.write(rows.tobytes())
+
+    def parts(self) -> Iterator[np.ndarray]:
+        self.file.seek(0)
+        while raw := self.file.read((HELD >> 2) * HIT.itemsize):
+            yield np.frombuffer(raw, HIT)
+
+    def one_seed(self) -> Iterator[pa.RecordBatch]:
+        """The hits of rows that all have one seed, however many they are."""
+        least = [tuple(int(x[0]) for x in _least(rows, np.zeros(1, np.int64))) for rows in self.parts()]
+        (head, place), tail = min(x[:2] for x in least), max(x[2] for x in least)
+        if head < tail:
+            for rows in self.parts():
+                yield from _hits(rows, np.full(len(rows), head), np.full(len(rows), place, np.int32))
+
+
+def _headed_rows(parts: Iterator[np.ndarray], level: int = 0) -> Iterator[pa.RecordBatch]:
+    """Of rows those whose seed several documents have, with the smallest of these as head and the seed's first place there.
+
+    At most HELD rows and a batch are held, whatever number of them has one seed.
+    """
+    held: list[np.ndarray] = []
+    files: list[_Dealt] = []
+    count = 0
+    for part in itertools.chain(parts, [None]):
+        if part is not None:
+            held.append(part)
+            count += len(part)
+        if held and (files if part is None else count > HELD):
+            files = files or [_Dealt() for _ in range(1 << BITS)]
+            rows = np.concatenate(held)
+            held, count = [], 0
+            bits = (rows["seed"].view(np.uint64) >> np.uint64(BITS * level)).astype(np.uint8) & np.uint8((1 << BITS) - 1)
+            ends = np.cumsum([0, *np.bincount(bits, minlength=1 << BITS)])
+            rows = rows[np.argsort(bits, kind="stable")]
+            for file, a, b in zip(files, ends[:-1], ends[1:], strict=True):
+                file.add(rows[a:b])
+    for dealt in files:
+        with dealt.file:
+            if dealt.low < dealt.high:
+                yield from _headed_rows(dealt.parts(), level + 1)
+            elif dealt.low == dealt.high:
+                yield from dealt.one_seed()
+    if held and len(rows := np.concatenate(held)):
+        rows = rows[np.argsort(rows["seed"])]
+        seed = rows["seed"]
+        first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        head, place, tail = _least(rows, first)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(seed))))
+        take = np.flatnonzero((head < tail)[of])
+        yield from _hits(rows[take], head[of[take]], place[of[take]])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The seeds of texts, those with the same top bits in one row, column by column: Spark then moves few rows."""
+    held: list[np.ndarray] = []
+    for part in itertools.chain(_seeds(batches), [None]):
+        if part is not None:
+            rows = np.empty(part.num_rows, HIT)
+            for c in HIT.names:
+                rows[c] = part.column(c).to_numpy()
+            held.append(rows)
+        if held and (part is None or sum(map(len, held)) > HELD >> 1):
+            rows = np.concatenate(held)
+            held = []
+            bucket = (rows["seed"].view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+            ends = np.cumsum([0, *np.bincount(bucket, minlength=1 << BUCKET_BITS)])
+            order = np.argsort(bucket, kind="stable")
+            columns = [np.ascontiguousarray(rows[c][order]) for c in HIT.names]
+            some = np.flatnonzero(np.diff(ends))
+            raw = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(ends[some].tolist(), ends[some + 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw, pa.binary())], ["bucket", "raw"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits of all rows of a partition, which has all rows of each of its seeds."""
+
+    def parts() -> Iterator[np.ndarray]:
+        for batch in batches:
+            for raw in batch.column("raw"):
+                data = raw.as_buffer()
+                rows, at = np.empty(data.size // HIT.itemsize, HIT), 0
+                for c in HIT.names:
+                    rows[c] = np.frombuffer(data, HIT[c], len(rows), at)
+                    at += HIT[c].itemsize * len(rows)
+                yield rows
+
+    yield from _headed_rows(parts())
+
+
+def _headed(texts: DataFrame) -> DataFrame:
+    """Seeds of texts that several documents have, with the smallest of these as head and the seed's first place there; shuffled once, sorted by numpy."""
+    return cut(in_batches(in_batches(texts, _dealt, "bucket int, raw binary").repartition("bucket"), _shared, HITS))
 
 
 # ---------------------------------------------------------------- chains
@@ -270,14 +394,38 @@ def gap_columns(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:, 0], at[:, 1]
 
 
-def _diagonal(x: np.ndarray, y: np.ndarray) -> tuple[int, bool, int, int]:
-    """How far two runs are compared before the score drops, whether it did, and place and value of the best score."""
+def _diagonal(x: np.ndarray, y: np.ndarray) -> tuple[int, bool, int]:
+    """How far two runs are compared before the score drops, whether it did, and the place of the best score."""
     n = min(len(x), len(y))
-    score = np.concatenate([[0], np.cumsum(np.where(x[:n] == y[:n], 1, APART))])
-    over = np.flatnonzero(np.maximum.accumulate(score) - score > DROP)
-    n = int(over[0]) if len(over) else n
-    best = int(np.argmax(score[: n + 1]))
-    return n, bool(len(over)), best, int(score[best])
+    score = np.full(n + 1, APART)
+    score[0] = 0
+    score[1:][x[:n] == y[:n]] = 1
+    score = score.cumsum()
+    over = np.maximum.accumulate(score) - score > DROP
+    at = int(over.argmax())
+    if over[at]:
+        n = at
+    return n, bool(over[at]), int(score[: n + 1].argmax())
+
+
+#: Words left out of text and source, the tries of extension() in their order.
+LEFT_OUT = [(i, j) for d in range(1, SHIFT + 1) for i, j in ((d, 0), (0, d))]
+
+
+def _beyond(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """The best of LEFT_OUT for two runs that go on: the value of _diagonal() after it less what is left out, and its words."""
+    agree = np.full((len(LEFT_OUT), max(len(x), len(y)) + 1), APART)
+    agree[:, 0] = 0
+    for row, (i, j) in zip(agree, LEFT_OUT, strict=True):
+        n = min(len(x) - i, len(y) - j)
+        if n > 0:
+            row[1 : n + 1][x[i : i + n] == y[j : j + n]] = 1  # beyond the end nothing agrees, which raises no best score
+    score = agree.cumsum(1)
+    best = np.maximum.accumulate(score, 1)
+    over = best - score > DROP
+    last = np.where(over.any(1), over.argmax(1), score.shape[1] - 1)
+    values = best[np.arange(len(best)), last].tolist()
+    return max(((v + APART * (i + j), i, j) for v, (i, j) in zip(values, LEFT_OUT, strict=True)), key=lambda t: t[0])
 
 
 def extension(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -287,11 +435,10 @@ def extension(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, boo
     """
     at, to, pieces = 0, 0, []
     while True:
-        n, dropped, best, _ = _diagonal(x[at:], y[to:])
+        n, dropped, best = _diagonal(x[at:], y[to:])
         step = (0, 0, 0)
         if dropped:
-            tries = [(_diagonal(x[at + best + i :], y[to + best + j :])[3] + APART * (i + j), i, j) for d in range(1, SHIFT + 1) for i, j in ((d, 0), (0, d))]
-            step = max(tries, key=lambda t: t[0])
+            step = _beyond(x[at + best :], y[to + best :])
         more = step[0] >= BEYOND
         length = best if more else n
         pieces.append((np.arange(at, at + length), np.arange(to, to + length)))
@@ -346,6 +493,8 @@ def segments(same: np.ndarray) -> Iterator[tuple[int, int]]:
     waiting = [(0, len(same))]
     while waiting:
         low, high = waiting.pop()
+        if high - low < LEAST:
+            continue
         flags = same[low:high]
         for begin, end in (_best(flags, APART), _best(flags, 2 * APART), _longest(flags)):
             if end - begin >= LEAST and flags[begin:end].sum() >= SIMILARITY * (end - begin) - 1e-9:
@@ -413,7 +562,8 @@ def _align_all(chained: DataFrame, texts: DataFrame) -> DataFrame:
 
         wanted = chained.select("doc_id", "source_id", "chain", "runs", F.posexplode(F.concat(needed(0), needed(1))))
         wanted = wanted.select("doc_id", "source_id", "chain", F.when(F.col("pos") == 0, F.col("runs")).alias("runs"), "col.side", "col.id", "col.block")
-        got = wanted.join(blocks.hint("merge"), ["id", "block"])
+        near = blocks if done is None else restrict(blocks, "id", cut(wanted.select("id").distinct()))
+        got = wanted.join(near.hint("merge"), ["id", "block"])
         got = got.groupBy("doc_id", "source_id", "chain").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.collect_list(F.struct("side", "block", "raw", "first_byte", "total")).alias("blocks"))
         rows = cut(in_batches(got, _align, PASSAGE))
         found = rows.where("similarity >= 0")
@@ -651,9 +801,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     whole = copies.join(extents, "head").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("low").alias("start_byte"), F.col("high").alias("end_byte"), F.col("head").alias("source_doc_id"), F.lit(0).cast("long").alias("source_start_word"), F.col("n").alias("source_end_word"), F.col("n").alias("n_agreeing"), F.lit(1.0).alias("similarity"))
     texts = restrict(texts, "doc_id", copies.select("doc_id"), "left_anti")
 
-    hits = _headed(in_batches(texts, _seeds, "seed long, doc_id long, at int"))
-    first = hits.where("doc_id = head and at >= 0").groupBy("seed", "head").agg(F.min("at").alias("source_at"))
-    matches = hits.where("doc_id > head").withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).join(first, ["seed", "head"])
+    hits = _headed(texts)
+    matches = hits.where("doc_id > head").withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
     groups = matches.groupBy("doc_id", "head").agg(F.collect_list("at").alias("at"), F.collect_list("source_at").alias("source_at"))
     chained = cut(in_batches(groups.where(F.size("at") > 1), _chain, CHAIN))
     passages = _align_all(chained, texts)

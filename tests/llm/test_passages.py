@@ -201,3 +201,61 @@ def test_rarest_seed_of_each_run():
                 i = min(inside, key=lambda i: (counts[i], seeds[i], -places[i]))
                 wanted.append((int(seeds[i]), int(places[i]) - begin))
         assert list(substring_dedup.rarest(places, seeds, counts, low, high)) == wanted
+
+
+def test_seeds_are_made_and_shuffled_once(spark, monkeypatch):
+    plans, real = [], substring_dedup.cut
+
+    def cut(df):
+        if {"seed", "head"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(substring_dedup, "cut", cut)
+    prose = prose_of(random.Random(8))
+    text = prose(80)
+    assert covered(spark, {1: text, 2: prose(30) + " " + text}) == {1: set(), 2: set(range(30, 110))}
+    assert [p.count("Exchange hashpartitioning(") for p in plans] == [1]
+
+
+@pytest.mark.parametrize("held", [4, 30, 1 << 19])
+def test_shared_seeds_against_brute_force(monkeypatch, held):
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    r = random.Random(held)
+    for _ in range(60):
+        rows = []
+        for seed in [r.choice([r.randrange(-(2**63), 2**63), r.randrange(-9, 9)]) for _ in range(r.randrange(8))]:
+            for doc in {r.randrange(-5, r.choice([-4, 3, 60])) for _ in range(r.choice([1, 4, 90]))}:
+                rows += [(seed, doc, r.randrange(99) if i == 0 else -1 - r.randrange(99)) for i in range(r.randrange(1, 4))]
+        r.shuffle(rows)
+        of = {}
+        for seed, doc, at in rows:
+            of.setdefault(seed, []).append((doc, at))
+        want = []
+        for seed, places in of.items():
+            head = min(d for d, _ in places)
+            first = min(at for d, at in places if d == head and at >= 0)
+            want += [(seed, d, at, head, first) for d, at in places if max(places)[0] > head]
+        parts = [np.array(rows[i : i + 7], substring_dedup.HIT) for i in range(0, len(rows), 7)]
+        got = [row for b in substring_dedup._headed_rows(iter(parts)) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(got) == sorted(want)
+
+
+def test_words_left_out_against_a_plain_search():
+    r = np.random.default_rng(4)
+
+    def value(x, y):
+        score = best = 0
+        for a, b in zip(x, y, strict=False):
+            score += 1 if a == b else substring_dedup.APART
+            best = max(best, score)
+            if best - score > substring_dedup.DROP:
+                break
+        return best
+
+    for _ in range(400):
+        x, y = (r.integers(0, 3, r.integers(0, 60)) for _ in range(2))
+        if r.random() < 0.5:
+            y = np.delete(x, r.integers(0, max(len(x), 1), 2 * (len(x) > 0)))
+        tries = [(value(x[i:], y[j:]) + substring_dedup.APART * (i + j), i, j) for i, j in substring_dedup.LEFT_OUT]
+        assert substring_dedup._beyond(x, y) == max(tries, key=lambda t: t[0])
