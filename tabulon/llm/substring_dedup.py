@@ -100,7 +100,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([seed, bare[again]]).view(np.int64)), ids, pa.array(np.concatenate([at, -1 - at[again]]))], ["seed", "doc_id", "at"])
 
 
-HITS = "seed long, doc_id long, at int, head long, source_at int"
+HITS = "seed long, doc_id long, at int, again array<int>, head long, source_at int, n long"
 HIT = np.dtype([("seed", np.int64), ("doc_id", np.int64), ("at", np.int32)])
 #: Rows that are sorted at once; where there are more, they are dealt into files by so many bits of their seeds.
 HELD = 1 << 19
@@ -109,11 +109,35 @@ BITS = 4
 BUCKET_BITS = 10
 
 
-def _hits(rows: np.ndarray, head: np.ndarray, source_at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in HITS.split(", ")]
+def _hits(rows: np.ndarray, head: np.ndarray, source_at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each place of a seed, without how many rows the seed has."""
     for low in range(0, len(rows), HELD >> 2):
         part = slice(low, low + (HELD >> 2))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[part])) for c in (*(rows[c] for c in HIT.names), head, source_at)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[part])) for c in (*(rows[c] for c in HIT.names), head, source_at)], [*HIT.names, "head", "source_at"])
+
+
+def _by_text(rows: np.ndarray, head: np.ndarray, source_at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each seed of a text: its first place, any others as `again` (null: none), and how many places the seed has in all texts.
+
+    A text that repeats a phrase a thousand times then has one row for each of its seeds in all joins. Places are written as in _seeds().
+    """
+    if not len(rows):
+        return
+    order = np.lexsort((-rows["at"], rows["doc_id"], rows["seed"]))
+    seed, doc, at = (np.ascontiguousarray(rows[c][order]) for c in HIT.names)
+    new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])])
+    first = np.flatnonzero(new)
+    more = np.diff(np.append(first, len(at))) - 1
+    again = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(more)]).astype(np.int32)), pa.array(at[~new]), mask=pa.array(more == 0))
+    columns = [seed[first], doc[first], at[first], again, head[order][first], source_at[order][first], n[order][first]]
+    whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in HITS.split(", ")])
+    for low in range(0, len(first), HELD >> 2):
+        yield whole.slice(low, HELD >> 2)
+
+
+def _words_at(at: np.ndarray) -> np.ndarray:
+    """Places as _seeds() writes them as words of the text."""
+    return np.maximum(at, -1 - at)
 
 
 def _least(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,17 +164,17 @@ class _Dealt:
         while raw := self.file.read((HELD >> 2) * HIT.itemsize):
             yield np.frombuffer(raw, HIT)
 
-    def one_seed(self) -> Iterator[pa.RecordBatch]:
+    def one_seed(self, give: Callable) -> Iterator[pa.RecordBatch]:
         """The hits of rows that all have one seed, however many they are."""
-        least = [tuple(int(x[0]) for x in _least(rows, np.zeros(1, np.int64))) for rows in self.parts()]
-        (head, place), tail = min(x[:2] for x in least), max(x[2] for x in least)
+        least = [(*(int(x[0]) for x in _least(rows, np.zeros(1, np.int64))), len(rows)) for rows in self.parts()]
+        (head, place), tail, n = min(x[:2] for x in least), max(x[2] for x in least), sum(x[3] for x in least)
         if head < tail:
             for rows in self.parts():
-                yield from _hits(rows, np.full(len(rows), head), np.full(len(rows), place, np.int32))
+                yield from give(rows, np.full(len(rows), head), np.full(len(rows), place, np.int32), np.full(len(rows), n))
 
 
-def _headed_rows(parts: Iterator[np.ndarray], level: int = 0) -> Iterator[pa.RecordBatch]:
-    """Of rows those whose seed several documents have, with the smallest of these as head and the seed's first place there.
+def _headed_rows(parts: Iterator[np.ndarray], level: int = 0, give: Callable = _hits) -> Iterator[pa.RecordBatch]:
+    """Of rows those whose seed several documents have, with the smallest of these as head and the seed's first place there, in the form of `give`.
 
     At most HELD rows and a batch are held, whatever number of them has one seed.
     """
@@ -173,17 +197,18 @@ def _headed_rows(parts: Iterator[np.ndarray], level: int = 0) -> Iterator[pa.Rec
     for dealt in files:
         with dealt.file:
             if dealt.low < dealt.high:
-                yield from _headed_rows(dealt.parts(), level + 1)
+                yield from _headed_rows(dealt.parts(), level + 1, give)
             elif dealt.low == dealt.high:
-                yield from dealt.one_seed()
+                yield from dealt.one_seed(give)
     if held and len(rows := np.concatenate(held)):
         rows = rows[np.argsort(rows["seed"])]
         seed = rows["seed"]
         first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
         head, place, tail = _least(rows, first)
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(seed))))
+        n = np.diff(np.append(first, len(seed)))
+        of = np.repeat(np.arange(len(first)), n)
         take = np.flatnonzero((head < tail)[of])
-        yield from _hits(rows[take], head[of[take]], place[of[take]])
+        yield from give(rows[take], head[of[take]], place[of[take]], n[of[take]])
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +233,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hits of all rows of a partition, which has all rows of each of its seeds."""
+    """The hits of all rows of a partition, which has all rows of each of its seeds, a row for each seed of a text (more than one only where over HELD rows have the seed)."""
 
     def parts() -> Iterator[np.ndarray]:
         for batch in batches:
@@ -220,7 +245,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at += HIT[c].itemsize * len(rows)
                 yield rows
 
-    yield from _headed_rows(parts())
+    yield from _headed_rows(parts(), give=_by_text)
 
 
 def _headed(texts: DataFrame) -> DataFrame:
@@ -312,8 +337,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int32()))]
     for batch in batches:
         rows: list[tuple] = []
-        for doc, source, *at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "head", "at", "source_at")), strict=True):
-            found = nodes(zip(*at, strict=True))
+        for doc, source, at, source_at, again in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "head", "at", "source_at", "again")), strict=True):
+            others = ((t, x["source_at"]) for x in again for t in x["again"])
+            found = nodes((max(t, -1 - t), s) for t, s in itertools.chain(zip(at, source_at, strict=True), others))
             parts = [p for c in (chains(found) if len(found) > 1 else [found]) for p in parted(c)]
             for i, part in enumerate(p for p in parts if len(p) > 1 or p[0][4] > K):  # more than a single seed
                 rows.append((doc, source, i, [n[:4] for n in part]))
@@ -597,9 +623,10 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the stretches of a text the beginnings of runs that its passages don't hold."""
     for batch in batches:
         rows = []
-        for doc, places, spans in zip(batch.column("doc_id").to_pylist(), batch.column("places"), batch.column("spans").to_pylist(), strict=True):
+        for doc, at, again, spans in zip(batch.column("doc_id").to_pylist(), batch.column("at"), batch.column("again"), batch.column("spans").to_pylist(), strict=True):
             out: list[tuple[int, int]] = []
-            for low, high in _stretches(places.values.to_numpy(zero_copy_only=False)):
+            places = np.concatenate([x.to_numpy(zero_copy_only=False) for x in (at.values, again.values.flatten())])
+            for low, high in _stretches(_words_at(places)):
                 covered = np.zeros(high + LEAST - low, bool)
                 for span in spans or ():
                     covered[max(span["start_word"] - low, 0) : max(span["end_word"] - low, 0)] = True
@@ -642,7 +669,10 @@ def _telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: set[tuple[int, int]] = set()
         for held, low, high in zip(batch.column("held"), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
-            place, bare, seed, count = (held.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "bare", "seed", "n"))
+            lists = held.values.field("at")
+            at = lists.flatten().to_numpy(zero_copy_only=False)
+            seed, count = (np.repeat(held.values.field(c).to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy()) for c in ("seed", "n"))
+            place, bare = _words_at(at), at < 0
             order = np.lexsort((~bare, place))  # of a place the seed without a number, which other texts have whatever their numbers
             order = order[np.concatenate([[True], np.diff(place[order]) > 0])]
             for x, y in zip(low, high, strict=True):
@@ -650,15 +680,24 @@ def _telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(sorted(out), ["seed", "offset"], [pa.int64(), pa.int32()])
 
 
+def _begins(at: pa.ListArray, offsets: pa.ListArray) -> np.ndarray:
+    """Where runs begin that have a place of a row at one of that row's offsets."""
+    each = pc.list_value_length(offsets).to_numpy()
+    row = np.repeat(np.arange(len(at)), pc.list_value_length(at).to_numpy())
+    times = each[row]
+    inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    offset = offsets.flatten().to_numpy()[np.repeat((np.cumsum(each) - each)[row], times) + inside]
+    return np.unique(np.repeat(_words_at(at.flatten().to_numpy()), times) - offset)
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the stretches of a text the beginnings of runs that hold a marked seed at one of its words in uncovered runs."""
     for batch in batches:
         rows = []
         for doc, places, marks in zip(batch.column("doc_id").to_pylist(), batch.column("places"), batch.column("marks"), strict=True):
-            at, offsets = (marks.values.field(c) for c in ("at", "offsets"))
-            begins = np.unique(np.repeat(at.to_numpy(zero_copy_only=False), pc.list_value_length(offsets).to_numpy()) - offsets.flatten().to_numpy())
+            begins = _begins(marks.values.field("at"), marks.values.field("offsets"))
             out: list[tuple[int, int]] = []
-            for low, high in _stretches(places.values.to_numpy(zero_copy_only=False)):
+            for low, high in _stretches(_words_at(places.values.to_numpy(zero_copy_only=False))):
                 for begin in begins[np.searchsorted(begins, low) : np.searchsorted(begins, high, "right")].tolist():
                     if out and begin <= out[-1][1] + 1:
                         out[-1] = (out[-1][0], begin)
@@ -721,22 +760,21 @@ def _exact_runs(texts: DataFrame, hits: DataFrame, passages: DataFrame) -> DataF
     in texts that hold the rarest seed of an uncovered run, as far before it as there and where all other seeds are those of uncovered runs. Each
     run is then matched, by all of its words, with the earliest document that has it.
     """
-    place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
-    later = hits.where("doc_id > head").select("doc_id", place.alias("at")).groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    later = hits.where("doc_id > head").groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("again").alias("again"))
     spans = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     left = cut(in_batches(later.join(spans, "doc_id", "left"), _uncovered, RANGES))
     if left.isEmpty():
         return None
     ranges = F.transform(F.arrays_zip("low", "high"), lambda r: F.struct(r["low"].alias("low"), (r["high"] + (LEAST - K)).alias("high")))
-    inside = F.exists("ranges", lambda r: F.col("place").between(r["low"], r["high"]))
-    wanted = restrict(hits.select("seed", "doc_id", place.alias("place"), (F.col("at") < 0).alias("bare")), "doc_id", left.select("doc_id", ranges.alias("ranges")), "inner", sizes="ranges").where(inside)
-    wanted = cut(wanted.select("seed", "doc_id", "place", "bare"))
-    held = cut(restrict(hits.select("seed", "doc_id", place.alias("at")), "seed", cut(wanted.select("seed").distinct())))
-    counted = wanted.join(held.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "seed")
-    counted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bare", "seed", "n")).alias("held")).join(left, "doc_id")
+    inside = F.filter("at", lambda at: F.exists("ranges", lambda r: F.greatest(at, -1 - at).between(r["low"], r["high"])))
+    every = F.concat(F.array("at"), F.coalesce("again", F.array().cast("array<int>"))).alias("at")
+    wanted = restrict(hits.select("seed", "doc_id", every, "n"), "doc_id", left.select("doc_id", ranges.alias("ranges")), "inner", sizes="ranges")
+    wanted = cut(wanted.select("seed", "doc_id", inside.alias("at"), "n").where(F.size("at") > 0))
+    held = cut(restrict(hits.select("seed", "doc_id", every), "seed", cut(wanted.select("seed").distinct())))
+    counted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "seed", "n")).alias("held")).join(left, "doc_id")
     telling = cut(in_batches(counted, _telling, SEEDS).groupBy("seed").agg(F.collect_set("offset").alias("offsets")))  # LEAST - K + 1 at most
     marks = cut(restrict(held, "seed", telling, "inner", sizes="offsets").groupBy("doc_id").agg(F.collect_list(F.struct("at", "offsets")).alias("marks")))
-    near = held.groupBy("doc_id").agg(F.collect_list("at").alias("places")).join(marks, "doc_id")
+    near = held.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("places")).join(marks, "doc_id")
     own = left.select("doc_id", F.col("low").alias("own_low"), F.col("high").alias("own_high"))
     near = cut(in_batches(near, _near, RANGES).join(own, "doc_id", "left"))
     runs = cut(in_batches(restrict(texts, "doc_id", near, "inner", sizes="low"), _runs, RUNS))
@@ -802,9 +840,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = restrict(texts, "doc_id", copies.select("doc_id"), "left_anti")
 
     hits = _headed(texts)
-    matches = hits.where("doc_id > head").withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
-    groups = matches.groupBy("doc_id", "head").agg(F.collect_list("at").alias("at"), F.collect_list("source_at").alias("source_at"))
-    chained = cut(in_batches(groups.where(F.size("at") > 1), _chain, CHAIN))
+    again = F.when(F.col("again").isNotNull(), F.struct("again", "source_at"))
+    groups = hits.where("doc_id > head").groupBy("doc_id", "head").agg(F.collect_list("at").alias("at"), F.collect_list("source_at").alias("source_at"), F.collect_list(again).alias("again"))
+    chained = cut(in_batches(groups.where((F.size("at") > 1) | (F.size("again") > 0)), _chain, CHAIN))
     passages = _align_all(chained, texts)
     more = _exact_runs(texts, hits, passages)
     rows = passages if more is None else passages.unionByName(more)

@@ -241,6 +241,58 @@ def test_shared_seeds_against_brute_force(monkeypatch, held):
         assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("held", [4, 30, 1 << 19])
+def test_seeds_by_text_against_brute_force(monkeypatch, held):
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    r = random.Random(held)
+    for _ in range(40):
+        rows = []
+        for seed in [r.choice([r.randrange(-(2**63), 2**63), r.randrange(-9, 9)]) for _ in range(r.randrange(8))]:
+            for doc in {r.randrange(-5, r.choice([-4, 3, 60])) for _ in range(r.choice([1, 4, 20]))}:
+                first = r.randrange(50)
+                rows += [(seed, doc, first), *((seed, doc, -1 - at) for at in r.sample(range(first + 1, 99), r.choice([0, 0, 2, 40])))]
+        rows = list(dict.fromkeys(rows))
+        r.shuffle(rows)
+        of = {}
+        for seed, doc, at in rows:
+            of.setdefault(seed, {}).setdefault(doc, []).append(at)
+        want = {(seed, doc): (sorted(at), min(docs), sum(map(len, docs.values()))) for seed, docs in of.items() if len(docs) > 1 for doc, at in docs.items()}
+        parts = [np.array(rows[i : i + 7], substring_dedup.HIT) for i in range(0, len(rows), 7)]
+        got = {}
+        made = [x for b in substring_dedup._headed_rows(iter(parts), give=substring_dedup._by_text) for x in b.to_pylist()]
+        for x in made:
+            assert x["again"] != [] and x["source_at"] == min(at for at in of[x["seed"]][x["head"]] if at >= 0)
+            got.setdefault((x["seed"], x["doc_id"]), []).append(x)
+        assert {k: (sorted(at for x in v for at in [x["at"], *(x["again"] or [])]), v[0]["head"], v[0]["n"]) for k, v in got.items()} == want
+        assert len(made) == len(want) or len(rows) > held
+
+
+def test_a_phrase_that_texts_repeat_has_a_row_for_each_text(spark, monkeypatch):
+    """The search for exact runs joins by seed: 200 places of a seed in a text are one row there, not 200."""
+    seen, real = [], substring_dedup.cut
+
+    def cut(df):
+        out = real(df)
+        if {"seed", "doc_id"} <= set(df.columns) and "asks" not in df.columns:
+            seen.append((out.count(), out.select("seed", "doc_id").distinct().count()))
+        if "marks" in df.columns:
+            seen.append((sum(len(r["marks"]) for r in out.collect()), seen[-1][1]))
+        return out
+
+    prose = prose_of(random.Random(11))
+    phrase, passage = prose(2), prose(60)
+    texts = {i: " ".join([prose(5 + i), *[phrase] * 200, prose(9), passage, prose(5)]) for i in range(8)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    hits = substring_dedup._headed(docs)
+    monkeypatch.setattr(substring_dedup, "cut", cut)
+    got = {i: set() for i in texts}
+    for x in substring_dedup._exact_runs(docs, hits, spark.createDataFrame([], substring_dedup.PASSAGE)).collect():
+        got[x["doc_id"]] |= set(range(x["start_word"], x["end_word"]))
+    assert got == exact_cover(texts)
+    assert hits.count() == hits.select("seed", "doc_id").distinct().count()
+    assert len(seen) == 3 and all(rows <= pairs for rows, pairs in seen)
+
+
 def test_words_left_out_against_a_plain_search():
     r = np.random.default_rng(4)
 
